@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: Query name -> module that holds it.
 MODULES = {
+    "op4_bpe": "bpe",
+    "op5_sharding": "sharding",
     "op6_quality_rules": "quality_rules",
+    "op10_packing": "packing",
 }
 SQL: dict[str, str] = {}
 
