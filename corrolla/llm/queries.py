@@ -9,6 +9,7 @@ MODULES = {
     "op4_bpe": "bpe",
     "op5_sharding": "sharding",
     "op6_quality_rules": "quality_rules",
+    "op8_secret_scan": "secrets",
     "op10_packing": "packing",
 }
 SQL: dict[str, str] = {}
