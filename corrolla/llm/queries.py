@@ -10,6 +10,7 @@ MODULES = {
     "op5_sharding": "sharding",
     "op6_quality_rules": "quality_rules",
     "op8_secret_scan": "secrets",
+    "op9_neighbours": "neighbours",
     "op10_packing": "packing",
 }
 SQL: dict[str, str] = {}
