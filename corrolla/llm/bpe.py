@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from functools import lru_cache
 
@@ -11,12 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corrolla.llm.common import read_documents, text_or_empty
-from corrolla.llm.memo import Memo, space_chunks
+from corrolla.llm.memo import LATIN_WORD, MARKS, WORD_PATTERN, Memo, space_chunks
 
-#: Fixed value. The pattern for which a text may be cut before spaces, and words of Latin letters told without it.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LATIN_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_MARKS = frozenset((".", ",", ";", ":", "!", "?"))
 #: Documents that a worker holds in encoded form at a time.
 SLICE = 500
 _CODECS: dict[tuple, "Codec"] = {}
@@ -179,11 +174,11 @@ class Codec:
         return self.find_odd(text) if odd else self.find(text)
 
     def _chunk(self, chunk: str) -> bytes:
-        if word := _LATIN_WORD.match(chunk):
+        if word := LATIN_WORD.match(chunk):
             end = word.end()
             if end == len(chunk):
                 return self.piece_ids[chunk]
-            if chunk[end:] in _MARKS:
+            if chunk[end:] in MARKS:
                 return self.piece_ids[chunk[:end]] + self.piece_ids[chunk[end:]]
         return b"".join([self.piece_ids[p] for p in self._pieces(chunk)])
 

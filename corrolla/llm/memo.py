@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+#: Fixed value. The pattern for which a text may be cut before spaces, and words of Latin letters told without it.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+MARKS = frozenset((".", ",", ";", ":", "!", "?"))
 #: A space that doesn't alone precede a word: where it doesn't occur, a text can be cut before each space.
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrolla.llm.common import numbered, read_documents, text_or_empty, written
-from corrolla.llm.memo import space_chunks
+from corrolla.llm.memo import LATIN_WORD, MARKS, WORD_PATTERN
 
 SLICE = 500
-#: Entries a worker's memo of encoded chunks may hold.
-ROOM = 500_000
+#: Entries that each of the two generations of a worker's memo of words may hold.
+ROOM = 400_000
 _TOKENIZERS: dict[str, object] = {}
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible Latin-1 for itself, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
+
+
 class _Ids:
-    """Token ids of texts, as little-endian unsigned 32-bit integers; chunks between spaces are encoded once."""
+    """Token ids of texts, as little-endian unsigned 32-bit integers, equal to the tokenizer's for each whole text.
+
+    Where every space precedes a visible character a text's words, with the space before, are encoded once each and
+    remembered. A word of Latin letters, with one mark at most after it, is a known piece: its merges run in the rank
+    library over the tokenizer's own vocabulary, if that has its merges in the order of its ids. All others, and all
+    other texts, go through the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -26,22 +41,68 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes | None] = {}
+        self.piece = self._merges()
+
+    def _merges(self):
+        """bytes -> ids by ranks, or None where the tokenizer's file isn't a plain byte-level one."""
+        import tiktoken
+
+        about = json.loads(self.tokenizer.to_str())
+        model, before = about["model"], about.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or about.get("normalizer") or model.get("type") != "BPE" or model.get("dropout"):
+            return None
+        byte, vocab = _byte_alphabet(), model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and len(t) == 1}
+        if len(ranks) != 256 or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+            return None
+        ranks |= {bytes(byte[c] for c in a + b): 256 + i for i, (a, b) in enumerate(pairs)}
+        return tiktoken.Encoding("pieces", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words, into: dict, before: str) -> None:
+        other = []
+        for word in words:
+            if word in self.older and before:
+                into[word] = self.older[word]
+                continue
+            if before and (not word or word[0].isspace()):
+                into[word] = None  # a text with it can't be cut
+                continue
+            chunk = before + word
+            latin = self.piece and LATIN_WORD.match(chunk)
+            if latin and latin.end() == len(chunk):
+                into[word] = array("I", self.piece(chunk.encode())).tobytes()
+            elif latin and chunk[latin.end() :] in MARKS:
+                into[word] = array("I", self.piece(latin[0].encode()) + self.piece(chunk[latin.end() :].encode())).tobytes()
+            else:
+                other.append(word)
+        for at in range(0, len(other), 10_000):
+            part = other[at : at + 10_000]
+            into.update(zip(part, self._encode([before + w for w in part])))
+
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [space_chunks(t) for t in texts]
+        words = [t.split(" ") for t in texts]
         if len(self.known) > ROOM:
-            self.known = {}
-        fresh = list({c for x in cut if x is not None for c in x if c not in self.known})
-        for at in range(0, len(fresh), 10_000):
-            self.known.update(zip(fresh[at : at + 10_000], self._encode(fresh[at : at + 10_000])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) if x is not None else self._encode([t])[0] for x, t in zip(cut, texts)]
+            self.known, self.older = {}, self.known
+        if len(self.heads) > ROOM // 4:
+            self.heads = {}
+        first = [w.pop(0) for w in words]
+        self._learn(set(first).difference(self.heads), self.heads, "")
+        self._learn(set(chain.from_iterable(words)).difference(self.known), self.known, " ")
+        get, out = self.known.__getitem__, []
+        for text, head, rest in zip(texts, first, words):
+            try:
+                out.append(self.heads[head] + b"".join(map(get, rest)))
+            except TypeError:
+                out.append(self._encode([text])[0])
+        return out
 
 
 def token_pieces(
