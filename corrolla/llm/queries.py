@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that holds it.
 MODULES = {
     "op1_near_dedup": "near_dedup",
+    "op2_substring_dedup": "substring_dedup",
     "op3_quality_classifier": "quality_model",
     "op4_bpe": "bpe",
     "op5_sharding": "sharding",
