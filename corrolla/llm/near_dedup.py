@@ -41,14 +41,14 @@ class Sketch:
         out = np.full(k * m, np.inf)
         owner = np.repeat(np.arange(k), [len(s) for s in sets])
         seed = np.concatenate([np.asarray(s, dtype=np.uint64) for s in sets]) if k else np.zeros(0, np.uint64)
-        at, step = np.zeros(len(seed)), np.uint64(0)
+        at, step = np.zeros(len(seed)), 0
         while len(seed):
-            step = step + np.uint64(1)
-            random = mix(seed + step * np.uint64(0xD1342543DE82EF95))
+            step += 1
+            random = mix(seed + np.uint64(step * 0xD1342543DE82EF95 & (1 << 64) - 1))
             at = at - np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (self.rate * m)
             place = mix(random) % np.uint64(m)
             np.minimum.at(out, owner * m + place.astype(np.int64), at)
-            if step == 1 or step % np.uint64(2) == 0:
+            if step == 1 or step % 2 == 0:
                 worst = out.reshape(k, m).max(axis=1)
             go = at < worst[owner]
             if not go.all():

@@ -156,3 +156,41 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return line_first_quality(read_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"
     )
+
+
+_MARKS_SQL = "(" + ", ".join(f"chr({ord(c)})" for c in TERMINAL) + ")"
+_CLOSING_SQL = " || ".join(f"chr({ord(c)})" for c in CLOSING)
+_SEPARATOR_SQL = "[|»›•·>]"
+#: The same in SQL. Windows are compared by their words.
+OP6_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) AS i FROM d
+), wc AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY r
+), g AS (
+  SELECT r, i, word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x AS gram FROM w WINDOW x AS (PARTITION BY r ORDER BY i)
+), f AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g WHERE gram IS NOT NULL
+), cov AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, unnest([0, 1, 2]) AS k FROM f WHERE c > 1) GROUP BY r
+), l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
+), lw AS (
+  SELECT r, line, length(line) AS n, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), lf AS (
+  SELECT *, (words < 4 AND right(rtrim(line, {_CLOSING_SQL}), 1) NOT IN {_MARKS_SQL})
+    OR n - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > 0.1 * n
+    OR 3 * (n - length(replace(line, '!!', ''))) > 2 * words
+    OR n - length(regexp_replace(line, '{_SEPARATOR_SQL}', '', 'g')) > 0.25 * words
+    OR regexp_matches(line, '(?i)\\b(?:{'|'.join(BOILERPLATE)})') AS fails FROM lw
+), lc AS (
+  SELECT r, count(*) - count(DISTINCT line) AS dup, sum(n) AS chars, coalesce(sum(n) FILTER (fails), 0) AS lost FROM lf GROUP BY r
+), m AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+    coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars, coalesce(chars, 0) AS chars
+  FROM d LEFT JOIN wc USING (r) LEFT JOIN cov USING (r) LEFT JOIN lc USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.3 * chars AS kept
+FROM m
+"""

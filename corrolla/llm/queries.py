@@ -12,11 +12,11 @@ MODULES = {
     "op4_bpe": "bpe",
     "op5_sharding": "sharding",
     "op6_quality_rules": "quality_rules",
+    "op7_preference_pairs": "preferences",
     "op8_secret_scan": "secrets",
     "op9_neighbours": "neighbours",
     "op10_packing": "packing",
 }
-SQL: dict[str, str] = {}
 
 
 def _lazy(module: str, name: str):
@@ -31,4 +31,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from corrolla.llm.preferences import OP7_SQL
+    from corrolla.llm.quality_rules import OP6_SQL
+
+    return {"op6_quality_rules": OP6_SQL, "op7_preference_pairs": OP7_SQL}
