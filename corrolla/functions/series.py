@@ -55,9 +55,15 @@ def full_z(c: Column, *keys: str) -> Column:
     return (c - F.avg(c).over(w)) / F.stddev_samp(c).over(w)
 
 
+def corr(x, y, frame: WindowSpec | None = None) -> Column:
+    """Pearson correlation; null where a side is flat, which the built-in one refuses. Both sides must be present."""
+    over = lambda c: c if frame is None else c.over(frame)
+    return F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))
+
+
 def rolling_corr(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
     frame = trailing(w, n)
-    return F.when(F.count(x + y).over(frame) == n, F.corr(x, y).over(frame))
+    return F.when(F.count(x + y).over(frame) == n, corr(x, y, frame))
 
 
 def trailing_z(c: Column, w: WindowSpec, n: int = 28) -> Column:

@@ -23,7 +23,7 @@ def rolling_pairs(rets: DataFrame, n: int = 30) -> DataFrame:
     b = rows.select("rn", F.col("symbol").alias("v"), F.col("ret").alias("y"), F.col("whole").alias("wb"))
     pairs = a.join(b, "rn").where("u < v")
     w = S.trailing(S.series("u", "v"), n)
-    return pairs.withColumn("r", _clean(F.corr("x", "y").over(w))).where("wa AND wb").select("rn", "date", "u", "v", "r")
+    return pairs.withColumn("r", _clean(S.corr("x", "y", w))).where("wa AND wb").select("rn", "date", "u", "v", "r")
 
 
 def pairwise(rets: DataFrame, least: int = 10) -> DataFrame:
@@ -31,7 +31,7 @@ def pairwise(rets: DataFrame, least: int = 10) -> DataFrame:
     rows = rets.where("ret IS NOT NULL")
     a = rows.select("rn", F.col("symbol").alias("u"), F.col("ret").alias("x"))
     b = rows.select("rn", F.col("symbol").alias("v"), F.col("ret").alias("y"))
-    out = a.join(b, "rn").where("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    out = a.join(b, "rn").where("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), S.corr("x", "y").alias("r"))
     return out.withColumn("r", F.when(F.col("n") >= least, _clean(F.col("r"))))
 
 

@@ -275,13 +275,13 @@ _RANKS = "rk AS (SELECT *, rank() OVER (ORDER BY l1) + (count(*) OVER (PARTITION
 def _(spark, d):
     i = _ind(spark, d).where("l1 IS NOT NULL")
     ranked = i.select(S.average_rank(F.col("l1"), "panel").alias("a"), S.average_rank(F.col("unb"), "panel").alias("b"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), r(F.corr("a", "b")).alias("rho"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), r(S.corr("a", "b")).alias("rho"))
 
 
 @query("partial_corr", f"WITH {IND}, c AS (SELECT corr(l1, unb) AS xy, corr(l1, price) AS xz, corr(unb, price) AS yz FROM ind WHERE l1 IS NOT NULL) SELECT round(xy, 6) AS raw, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM c")
 def _(spark, d):
     i = _ind(spark, d).where("l1 IS NOT NULL")
-    c = i.agg(F.corr("l1", "unb").alias("xy"), F.corr("l1", "price").alias("xz"), F.corr("unb", "price").alias("yz"))
+    c = i.agg(S.corr("l1", "unb").alias("xy"), S.corr("l1", "price").alias("xz"), S.corr("unb", "price").alias("yz"))
     den = F.expr("sqrt((1 - xz * xz) * (1 - yz * yz))")
     return c.select(r("xy").alias("raw"), r(F.when(den > 1e-12, F.expr("xy - xz * yz") / den)).alias("partial"))
 
@@ -295,7 +295,7 @@ def _(spark, d):
 
 @query("pc1_share", f"WITH {IND} SELECT round((1 + abs(corr(l1, unb))) / 2, 6) AS share FROM ind WHERE l1 IS NOT NULL")
 def _(spark, d):
-    return _ind(spark, d).where("l1 IS NOT NULL").agg(r((1 + F.abs(F.corr("l1", "unb"))) / 2).alias("share"))
+    return _ind(spark, d).where("l1 IS NOT NULL").agg(r((1 + F.abs(S.corr("l1", "unb"))) / 2).alias("share"))
 
 
 @query("anova_f", "WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1), t AS (SELECT sum(n * m) / sum(n) AS gm FROM g) SELECT round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f FROM g, t")
@@ -334,7 +334,7 @@ def _(spark, d):
 def _(spark, d):
     m = _ind(spark, d).groupBy(F.date_trunc("month", "date").cast("date").alias("mo")).agg(F.avg("price").alias("p"))
     o = T.table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("mo")).agg(F.avg("o_totalprice").alias("q"))
-    return m.join(o, "mo").agg(F.count(F.lit(1)).alias("n"), r(F.corr("p", "q")).alias("c"))
+    return m.join(o, "mo").agg(F.count(F.lit(1)).alias("n"), r(S.corr("p", "q")).alias("c"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,7 +230,7 @@ def _(spark, d):
     n = i.groupBy("panel").agg(((F.max("rn") + 1) / 2).alias("mid"))
     h = i.where("l1 IS NOT NULL").join(F.broadcast(n), "panel").withColumn("half", (F.col("rn") >= F.col("mid")).cast("int"))
     ranked = h.select("half", S.average_rank(F.col("l1"), "half").alias("a"), S.average_rank(F.col("unb"), "half").alias("b"))
-    return ranked.groupBy("half").agg(r(F.corr("a", "b")).alias("rho"))
+    return ranked.groupBy("half").agg(r(S.corr("a", "b")).alias("rho"))
 
 
 _FOLDS = "n AS (SELECT max(rn) + 1 AS n FROM ind), f AS (SELECT k AS fold, k * 30 AS first, k * 30 + 120 AS mid, k * 30 + 150 AS last FROM n, unnest(range(0, CAST(floor((n - 150) / 30.0) AS BIGINT) + 1)) t(k) WHERE n >= 150)"

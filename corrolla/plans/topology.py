@@ -1 +1,174 @@
-"""Topology and graph invariants as queries."""
+"""Topology, graph invariants, scenarios and inference as queries. SQL can't say these; the tests hold them against
+brute force, but for the ones whose result SQL can count."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corrolla.operators import correlation as C, inference as I, panel as P, signals as G, topology as N
+from corrolla.plans.registry import PAIRS, W, _div, _pairs, _rets, query, r
+from corrolla.plans.studies import _events, E
+from corrolla.functions import series as S
+from corrolla.sources import tables as T
+
+
+def _every(spark, d, step: int):
+    return _pairs(spark, d).where(F.col("rn") % step == 0)
+
+
+@query("gamma_series")
+def _(spark, d):
+    g = N.window_invariants(_pairs(spark, d), ["rn"])
+    return g.select("rn", "n_symbols", r("l1").alias("L1_H1"), "n_unb", "n_edges", r("balance_rate").alias("balance_rate"))
+
+
+@query("multi_indicators")
+def _(spark, d):
+    g = N.window_invariants(_pairs(spark, d), ["rn"])
+    return g.select("rn", *[r(c).alias(c) for c in ("l1", "l2", "linf", "mean", "entropy", "weighted_unb", "balance_rate")], "n_bars", "n_unb", "unb_3", "unb_4", "unb_5plus", "n_cycles")
+
+
+@query("ediv_series")
+def _(spark, d):
+    g = N.window_invariants(_pairs(spark, d), ["rn"]).select("rn", F.col("l1"), F.col("n_unb").cast("double").alias("unb")).withColumn("panel", F.lit("PX"))
+    return G.divergence(g).select("rn", r("z_l1").alias("z_l1"), r("z_unb").alias("z_unb"), r("e_div").alias("e_div"))
+
+
+@query("h1_barcode")
+def _(spark, d):
+    return N.barcodes(_every(spark, d, 10), ["rn"]).select("rn", "dim", r("birth").alias("birth"), r("death").alias("death"))
+
+
+@query("truncation_audit")
+def _(spark, d):
+    pairs = _every(spark, d, 20)
+    cut = N.barcodes(pairs, ["rn"]).where("dim = 1").groupBy("rn").agg(F.sum(F.col("death") - F.col("birth")).alias("cut"))
+    full = N.barcodes(pairs, ["rn"], far=2.0).where("dim = 1").groupBy("rn").agg(F.sum(F.col("death") - F.col("birth")).alias("full"), F.count_if(F.col("birth") > N.FAR).alias("late"))
+    return full.join(cut, "rn", "left").select("rn", r("cut").alias("l1_cut"), r("full").alias("l1_full"), F.col("late").alias("n_late"))
+
+
+@query("cycle_mod_k")
+def _(spark, d):
+    return N.window_invariants(_pairs(spark, d), ["rn"], {"cycles"}).select("rn", "n_cycles", "unb_mod2")
+
+
+@query(
+    "betti_series",
+    f"""WITH RECURSIVE {PAIRS}, w5 AS (SELECT rn, symbol FROM whole WHERE whole AND rn % 40 = 0), e5 AS (SELECT rn, u, v FROM edges WHERE rn % 40 = 0 UNION ALL SELECT rn, v, u FROM edges WHERE rn % 40 = 0),
+reach(rn, s, t) AS (SELECT rn, symbol, symbol FROM w5 UNION SELECT r.rn, r.s, e.v FROM reach r JOIN e5 e ON e.rn = r.rn AND e.u = r.t),
+c AS (SELECT rn, count(DISTINCT lo) AS betti0, count(*) AS n FROM (SELECT rn, s, min(t) AS lo FROM reach GROUP BY 1, 2) GROUP BY rn), m AS (SELECT rn, count(*) AS m FROM edges GROUP BY rn)
+SELECT rn, betti0, greatest(0, coalesce(m, 0) - n + betti0) AS betti1 FROM c LEFT JOIN m USING (rn)""",
+)
+def _(spark, d):
+    return N.window_invariants(_every(spark, d, 40), ["rn"], set()).select("rn", "betti0", "betti1")
+
+
+@query("betti_sweep")
+def _(spark, d):
+    pairs = _every(spark, d, 60).cache()
+    out = None
+    for k in range(2, 19):
+        one = N.window_invariants(pairs, ["rn"], set(), k / 20).select("rn", F.lit(k / 20).alias("threshold"), "betti0", "betti1")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+for _name, _columns in {
+    "k_core": ["max_core"],
+    "spectral_gap": ["gap"],
+    "mst_ntl": ["forest", "tree_length"],
+    "clustering_weighted": ["clustering"],
+    "communities": ["n_communities"],
+    "walk_balance": ["walk_balance"],
+    "frustration": ["frustration"],
+    "eigenvector_centrality": ["centrality_max"],
+}.items():
+
+    @query(_name)
+    def _(spark, d, columns=_columns):
+        g = N.window_invariants(_every(spark, d, 5), ["rn"], {"graph"})
+        return g.select("rn", *[(r(c) if N.FIELDS[c] == "double" else F.col(c)).alias(c) for c in columns])
+
+
+for _name, _column in {"max_cliques": "n_cliques", "removal_impact": "max_removal"}.items():
+
+    @query(_name)
+    def _(spark, d, column=_column):
+        return N.window_invariants(_every(spark, d, 20), ["rn"], {"heavy"}).select("rn", r(F.col(column).cast("double")).alias(column))
+
+
+def _scenarios(spark, d, excluded):
+    pairs = _every(spark, d, 10)
+    symbols = T.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    every = excluded.unionByName(spark.createDataFrame([("all", "-")], "scenario string, symbol string"))
+    g = N.window_invariants(N.scenarios(pairs, symbols, every), ["scenario", "rn"])
+    by = g.groupBy("scenario").agg(F.avg("l1").alias("l1"), F.avg("n_unb").alias("unb"))
+    base = by.where("scenario = 'all'").select(F.col("l1").alias("b1"), F.col("unb").alias("bu"))
+    out = by.crossJoin(F.broadcast(base))
+    return out.select("scenario", r("l1").alias("l1"), r("unb").alias("n_unb"), r(F.col("b1") - F.col("l1")).alias("l1_contribution"), r(F.col("bu") - F.col("unb")).alias("unb_contribution"))
+
+
+@query("loo_contribution")
+def _(spark, d):
+    names = T.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    return _scenarios(spark, d, names.select(F.col("symbol").alias("scenario"), "symbol"))
+
+
+@query("class_exclusion")
+def _(spark, d):
+    names = T.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    return _scenarios(spark, d, names.select(F.substring("symbol", 1, 7).alias("scenario"), "symbol"))
+
+
+@query("subsample_band")
+def _(spark, d):
+    names = T.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    trials = spark.range(10).withColumn("scenario", F.concat(F.lit("t"), "id"))
+    dealt = names.crossJoin(F.broadcast(trials)).withColumn("k", F.row_number().over(N_window("scenario")))
+    out = _scenarios(spark, d, dealt.where("k <= 8").select("scenario", "symbol")).where("scenario <> 'all'")
+    p = lambda q: r(F.percentile("l1", F.lit(q)))
+    return out.agg(r(F.avg("l1")).alias("mean"), r(F.stddev_samp("l1")).alias("sd"), p(0.05).alias("p05"), p(0.95).alias("p95"))
+
+
+def N_window(key: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(key).orderBy(F.xxhash64(key, "symbol"), "symbol")
+
+
+@query("window_scan")
+def _(spark, d):
+    rets, out = _rets(spark, d), None
+    for n in (20, 30, 60, 90):
+        g = N.window_invariants(C.rolling_pairs(rets, n).where("rn % 20 = 0"), ["rn"], {"cycles"}).agg(F.count(F.lit(1)).alias("n_windows"), r(F.avg("n_edges")).alias("n_edges"), r(F.avg("n_unb")).alias("n_unb"))
+        one = g.withColumn("w", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("permutation_p")
+def _(spark, d):
+    rows = E.responses(_div(spark, d), "e_div")
+    return I.permutation_p(rows, E.nearest_rows(_events(spark), rows), "post_pre", "category", 2000)
+
+
+@query("random_benchmark")
+def _(spark, d):
+    div = _div(spark, d)
+    own = G.metrics(G.simulate(div, S.SIGNALS["s1"](), ["panel"]), ["panel"]).select(F.col("total_return").alias("mine"), F.col("max_drawdown").alias("fall"))
+    trials = I.random_signals(div.select("rn", "price"), 8, 10, 200)
+    runs = G.metrics(G.simulate(trials, F.col("on"), ["trial"], hold=0), ["trial"]).crossJoin(F.broadcast(own))
+    p = lambda c, q: r(F.percentile(c, F.lit(q)))
+    return runs.agg(F.count(F.lit(1)).alias("n"), p("total_return", 0.05).alias("p05"), p("total_return", 0.95).alias("p95"), r(F.avg((F.col("total_return") > F.col("mine")).cast("double"))).alias("p_return"), r(F.avg((F.col("max_drawdown") > F.col("fall")).cast("double"))).alias("p_drawdown"))
+
+
+@query("granger")
+def _(spark, d):
+    div = _div(spark, d)
+    out = I.granger(div, "l1", "unb").withColumn("direction", F.lit("l1->unb")).unionByName(I.granger(div, "unb", "l1").withColumn("direction", F.lit("unb->l1")))
+    return out.select("direction", "lag", "n", r("f").alias("f"), r("p").alias("p"))
+
+
+@query("pc_dag")
+def _(spark, d):
+    return I.causal_edges(_div(spark, d), ["z_l1", "z_unb", "price", "e_div"][:3])
