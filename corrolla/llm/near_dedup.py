@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,6 +17,8 @@ from corrolla.llm.shingles import mix, set_digest, shingle_values, word_values
 SLICE = 256
 #: Candidate classes whose ids are sent to every executor at most; beyond, texts are fetched by a shuffled join.
 SENT_CLASSES = 200_000
+#: Classes, and shingles of all of them, that one side of a block holds; classes of a group that is compared in blocks.
+BLOCK_CLASSES, BLOCK_SHINGLES, GROUP_CLASSES = 512, 400_000, 16_384
 
 
 @dataclass(frozen=True)
@@ -158,43 +161,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketch: Sketch, percent: int, m
     return written(joined.mapInArrow(run, "a binary, b binary"), "verified")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    words: int = 5,
-    percent: int = 80,
-    sketch: Sketch = Sketch(),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    margin: float = 0.2,
-    star_rounds: int = 3,
-) -> DataFrame:
-    """For each row of docs: id_col, n_shingles, component_id (the smallest id reachable over links), kept.
-
-    Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles (one of all
-    words if there are fewer). Documents with equal sets form one class and are compared once. Classes that share a
-    band of registers are candidates. In a bucket, members are first compared with one leader, in star_rounds rounds
-    with other leaders; as linked classes need no more comparing, only members outside a bucket's largest component are
-    then compared with all of the others', so no link between components is lost and no bucket is paired out.
-
-    Null or empty texts and texts without words: n_shingles 0, linked with nothing, kept. Rows alike are of one class;
-    a repeated id stands for all its texts' classes, each row with its own. A null id takes part, but names a component
-    only where no other id is in it. Further columns of docs play no part. An empty table gives an empty result.
-    """
-    signed = written(sketch_documents(docs, sketch, words, id_col, text_col), "sketches")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    classes = written(classes.withColumnRenamed("digest", "node"), "classes")
-    width = 2 * sketch.rows
-    at = F.sequence(F.lit(0), F.lit(sketch.bands - 1))
-    short = F.xxhash64("node")  # stands for the class in the bands; a clash of two adds candidates
-    band = classes.select(short.alias("s"), F.explode(F.transform(at, lambda i: F.xxhash64(i, F.expr("registers").substr(i * width + 1, F.lit(width))))).alias("band"))
-    counted = band.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
-    shared = written(counted.where("c > 1").select("band"), "shared")
-    short_members = band.join(shared, "band")
-    names = classes.select(short.alias("s"), "node")
-    members = written(short_members.join(names, "s").select("band", "node"), "members")
-    wanted = members.select("node").distinct().join(classes, "node").select("node", "_id", "n", "registers")
-    sets = written(_sets_of(written(wanted, "wanted"), docs, words, id_col, text_col).dropDuplicates(["node"]), "sets")
+def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that connect what is alike in one block, a tree's worth at most: its classes' shingles are counted in common
+    by products of membership matrices, some thousand shingles at a time."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["values"]]
+    own = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), own)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    width = np.diff(np.r_[start, len(flat)])
+    shared = np.repeat(width > 1, width)
+    column = (np.cumsum(np.r_[0, (width > 1)])[:-1]).repeat(width)[shared]
+    row = row[shared]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    step = 4096
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + step, step))
+    for a, b in zip(cuts, np.r_[cuts[1:], len(column)]):
+        if a < b:
+            m = np.zeros((len(sets), step), dtype=np.float32)
+            m[row[a:b], column[a:b] % step] = 1
+            both += m @ m.T
+    both = both.astype(np.int64)
+    alike = 100 * both >= percent * (own[:, None] + own[None, :] - both)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(alike, 1))):
+        a, b = root(int(i)), root(int(j))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((pdf["node"][int(i)], pdf["node"][int(j)]))
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def _unlikely_pairs(groups: DataFrame, classes: DataFrame, sketch: Sketch, percent: int, margin: float) -> DataFrame:
+    """Labels of groups of two whose sketches put them more than margin, many standard errors, below the threshold:
+    their texts need not be fetched."""
+    two = groups.groupBy("label").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("a"), F.max("node").alias("b")).where("g = 2")
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    rows = two.join(side("a"), "a").join(side("b"), "b").select("label", "n_a", "n_b", "r_a", "r_b")
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(i).to_pylist()]) for i in (3, 4))
+                na, nb = (batch.column(i).to_numpy().astype(float) for i in (1, 2))
+                low = sketch.estimate(a, b, na, nb) < percent / 100 - margin
+                yield batch.select([0]).filter(pa.array(low))
+
+    return rows.mapInArrow(run, "label binary")
+
+
+def _linked_in_blocks(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links within candidate groups. A group's classes are dealt into chunks and each pair of chunks is one block."""
+    sizes = sets.select("node", "n").join(groups, "node").groupBy("label").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("t"))
+    chunks = F.greatest(F.ceil(F.col("g") / BLOCK_CLASSES), F.ceil(F.col("t") / BLOCK_SHINGLES)).cast("int")
+    dealt = groups.join(sizes.select("label", chunks.alias("chunks")), "label")
+    dealt = dealt.select("node", "label", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = written(dealt, "dealt")
+    rows = sets.select("node", "values").join(F.broadcast(dealt) if dealt.count() <= SENT_CLASSES else dealt, "node")
+    return rows.groupBy("label", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "a binary, b binary")
+
+
+def _linked_by_leaders(members: DataFrame, sets: DataFrame, sketch: Sketch, percent: int, margin: float, star_rounds: int) -> DataFrame:
+    """Links within groups too large for blocks. In a bucket, members are first compared with one leader, in star_rounds
+    rounds with other leaders; as linked classes need no more comparing, only members outside a bucket's largest
+    component are then compared with all of the others', so no link between components is lost."""
     links = None
     labels = None
 
@@ -228,6 +268,58 @@ def near_duplicates(
         main = sizes.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m")).select("band", F.col("m.label").alias("main"))
         outside = open_.join(main, "band").where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("own"))
         take(outside.join(open_, "band").where("own <> label").select("x", F.col("node").alias("y")).select(ordered()))
+    return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+
+def near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    sketch: Sketch = Sketch(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    margin: float = 0.2,
+    star_rounds: int = 3,
+) -> DataFrame:
+    """For each row of docs: id_col, n_shingles, component_id (the smallest id reachable over links), kept.
+
+    Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles (one of all
+    words if there are fewer). Documents with equal sets form one class and are compared once. Classes that share a
+    band of registers are candidates; those that candidates connect make a group; of two, those whose joint estimate is far too low are let go. A group of at most GROUP_CLASSES is
+    compared whole, in blocks of two chunks that different tasks hold; no pair is a row, and a block gives no more
+    links than it has classes. Larger groups are compared by leaders, see _linked_by_leaders. Links are tested on the
+    whole sets in either case.
+
+    Null or empty texts and texts without words: n_shingles 0, linked with nothing, kept. Rows alike are of one class;
+    a repeated id stands for all its texts' classes, each row with its own. A null id takes part, but names a component
+    only where no other id is in it. Further columns of docs play no part. An empty table gives an empty result.
+    """
+    signed = written(sketch_documents(docs, sketch, words, id_col, text_col), "sketches")
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = written(classes.withColumnRenamed("digest", "node"), "classes")
+    width = 2 * sketch.rows
+    at = F.sequence(F.lit(0), F.lit(sketch.bands - 1))
+    short = F.xxhash64("node")  # stands for the class in the bands; a clash of two adds candidates
+    band = classes.select(short.alias("s"), F.explode(F.transform(at, lambda i: F.xxhash64(i, F.expr("registers").substr(i * width + 1, F.lit(width))))).alias("band"))
+    counted = band.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
+    shared = written(counted.where("c > 1").select("band"), "shared")
+    short_members = band.join(shared, "band")
+    names = classes.select(short.alias("s"), "node")
+    members = written(short_members.join(names, "s").select("band", "node"), "members")
+    lead = members.groupBy("band").agg(F.min("node").alias("a"))
+    stars = members.join(lead, "band").where("node <> a").select("a", F.col("node").alias("b"))
+    groups = written(components(stars), "groups")
+    groups = written(groups.join(_unlikely_pairs(groups, classes, sketch, percent, margin), "label", "left_anti"), "likely")
+    wanted = written(groups.join(classes, "node").select("node", "_id", "n", "registers"), "wanted")
+    sets = written(_sets_of(wanted, docs, words, id_col, text_col).dropDuplicates(["node"]), "sets")
+    large = groups.groupBy("label").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > GROUP_CLASSES).select("label")
+    large = written(large, "large")
+    some_large = bool(large.take(1))
+    links = written(_linked_in_blocks(sets, groups.join(large, "label", "left_anti") if some_large else groups, percent), "links")
+    if some_large:
+        inside = members.join(groups.join(large, "label").select("node"), "node")
+        links = links.unionByName(_linked_by_leaders(written(inside, "inside"), sets, sketch, percent, margin, star_rounds))
+    labels = written(components(links), "labels") if links.take(1) else None
 
     label = F.col("node").alias("label") if labels is None else F.coalesce("label", "node").alias("label")
     of_class = (classes if labels is None else classes.join(labels, "node", "left")).select("node", "_id", label)
