@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from corrolla.functions import series as S
-from corrolla.operators import events as E, signals as G
+from corrolla.operators import events as E, panel as P, signals as G
 from corrolla.plans.registry import DIV, IND, _div, _ind, query, r
 from corrolla.sources import tables as T
 
@@ -371,3 +371,74 @@ def _(spark, d):
 def _(spark, d):
     e = T.table(spark, d, "events").withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")))
     return e.select("event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("day").rangeBetween(-15, -1)).alias("density_15d"))
+
+
+# ---- targets, audits, comparisons
+
+_TARGET = "(SELECT d.rn, d.e_div, d.z_l1, d.z_unb, x.symbol, x.pad AS price FROM div d JOIN ret x ON x.rn = d.rn WHERE x.pad IS NOT NULL)"
+
+
+@query("target_backtest", f"WITH {DIV}, {_SIM.format(on=_ON['s1'], src=_TARGET, k='symbol', inv='NOT position')} " + _METRICS.format(k="symbol"))
+def _(spark, d):
+    rets = P.returns(T.brand_panel(spark, d))
+    div = G.divergence(G.index_series(rets)).select("rn", "e_div", "z_l1", "z_unb")
+    rows = rets.where("pad IS NOT NULL").select("rn", "symbol", F.col("pad").alias("price")).join(div, "rn")
+    return _rounded(G.metrics(G.simulate(rows, S.SIGNALS["s1"](), ["symbol"]), ["symbol"]), "symbol")
+
+
+@query("lookahead_audit", f"WITH {DIV}, f AS (SELECT z_l1 AS a, (l1 - avg(l1) OVER ()) / stddev_samp(l1) OVER () AS b FROM div) SELECT count(*) AS n, round(avg(abs(a - b)), 6) AS mean_gap, round(max(abs(a - b)), 6) AS max_gap, round(corr(a, b), 6) AS c FROM f WHERE a IS NOT NULL AND b IS NOT NULL")
+def _(spark, d):
+    f = _div(spark, d).select(F.col("z_l1").alias("a"), S.full_z(F.col("l1"), "panel").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    gap = F.abs(F.col("a") - F.col("b"))
+    return f.agg(F.count(F.lit(1)).alias("n"), r(F.avg(gap)).alias("mean_gap"), r(F.max(gap)).alias("max_gap"), r(S.corr("a", "b")).alias("c"))
+
+
+@query("full_quantile_rule", f"WITH {DIV}, {_sim('l1 >= (SELECT quantile_cont(l1, 0.7) FROM div)')} " + _METRICS.format(k="panel"))
+def _(spark, d):
+    div = _div(spark, d)
+    cut = div.groupBy("panel").agg(F.percentile("l1", F.lit(0.7)).alias("cut"))
+    run = G.simulate(div.join(F.broadcast(cut), "panel"), F.col("l1") >= F.col("cut"), ["panel"])
+    return _rounded(G.metrics(run, ["panel"]), "panel")
+
+
+@query("forward_return_by_class", f"WITH {_CLS}, w AS (SELECT cls, lead(price, 20) OVER (ORDER BY rn) / price - 1 AS fwd FROM c) SELECT cls, count(fwd) AS n, round(avg(fwd), 6) + 0.0 AS mean_fwd, round(median(fwd), 6) + 0.0 AS median_fwd FROM w GROUP BY cls")
+def _(spark, d):
+    w = _classes(spark, d).select("cls", S.forward_return(F.col("price"), S.series("panel"), 20).alias("fwd"))
+    return w.groupBy("cls").agg(F.count("fwd").alias("n"), r(F.avg("fwd")).alias("mean_fwd"), r(F.median("fwd")).alias("median_fwd"))
+
+
+_RESPONSE = "(SELECT (avg(l1) FILTER (rn >= 100 AND rn < 130) - avg(l1) FILTER (rn >= 40 AND rn < 100)) / stddev_samp(l1) FILTER (rn >= 40 AND rn < 100) AS v FROM {})"
+
+
+@query(
+    "exclusion_verdict",
+    f"WITH {IND}, less AS (SELECT rn, stddev_samp(ret) AS l1 FROM ret WHERE symbol NOT LIKE 'Brand#1%' GROUP BY rn), "
+    f"b AS (SELECT a.v AS base, x.v AS less FROM {_RESPONSE.format('ind')} a, {_RESPONSE.format('less')} x) "
+    "SELECT round(base, 6) + 0.0 AS base, round(less, 6) + 0.0 AS excluded, round(abs(base - less), 6) AS diff_abs, round(abs(base - less) / abs(base), 6) AS diff_rel, sign(base) = sign(less) AS sign_preserved, abs(base - less) <= 0.5 AS robust FROM b",
+)
+def _(spark, d):
+    rets = P.returns(T.brand_panel(spark, d))
+    one = lambda x, name: E.fixed_baseline(G.index_series(x), "l1", (40, 100), (100, 130)).select("panel", F.col("response").alias(name))
+    both = one(rets, "base").join(one(rets.where("NOT startswith(symbol, 'Brand#1')"), "less"), "panel")
+    gap = F.abs(F.col("base") - F.col("less"))
+    return both.select(r("base").alias("base"), r("less").alias("excluded"), r(gap).alias("diff_abs"), r(gap / F.abs("base")).alias("diff_rel"), (F.signum("base") == F.signum("less")).alias("sign_preserved"), (gap <= 0.5).alias("robust"))
+
+
+@query("onset_backtrace", f"WITH {_TRIG}, st AS (SELECT cluster, min(rn) AS began FROM cl GROUP BY cluster), m AS (SELECT s.cluster, s.began, d.rn, d.e_div, row_number() OVER (PARTITION BY s.cluster ORDER BY d.rn DESC) AS k FROM st s JOIN (WITH {DIV} SELECT rn, e_div FROM div) d ON d.rn <= s.began AND d.rn > s.began - 30 WHERE d.e_div >= 0.5), g AS (SELECT *, coalesce(lag(rn) OVER (PARTITION BY cluster ORDER BY rn DESC), began) - rn AS gap FROM m), b AS (SELECT *, sum(CASE WHEN gap > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY cluster ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken FROM g) SELECT cluster, min(rn) AS onset, any_value(began) - min(rn) AS lag FROM b WHERE broken = 0 GROUP BY cluster")
+def _(spark, d):
+    """From a cluster's first row back over rows of high divergence, with at most three lower rows between two of them
+    and thirty rows in all."""
+    div = _div(spark, d)
+    start = G.triggers(div).groupBy("cluster").agg(F.min("rn").alias("at"))
+    high = div.where("e_div >= 0.5").select("rn").join(F.broadcast(start), F.expr("rn <= at AND rn > at - 30"))  # a row a cluster
+    w = Window.partitionBy("cluster").orderBy(F.desc("rn"))
+    gap = high.withColumn("gap", F.coalesce(F.lag("rn").over(w), F.col("at")) - F.col("rn"))
+    broken = gap.withColumn("broken", F.sum((F.col("gap") > 4).cast("int")).over(S.upto(w))).where("broken = 0")
+    return broken.groupBy("cluster", "at").agg(F.min("rn").alias("onset")).select("cluster", "onset", (F.col("at") - F.col("onset")).alias("lag"))
+
+
+@query("subsample_ci", f"WITH {IND}, s AS (SELECT rn % 7 AS part, avg(l1) AS m FROM ind WHERE l1 IS NOT NULL GROUP BY 1) SELECT count(*) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(m) / (stddev_samp(m) / sqrt(count(*))), 4) AS t FROM s")
+def _(spark, d):
+    s = _ind(spark, d).where("l1 IS NOT NULL").groupBy((F.col("rn") % 7).alias("part")).agg(F.avg("l1").alias("m"))
+    p = lambda q: r(F.percentile("m", F.lit(q)))
+    return s.agg(F.count(F.lit(1)).alias("n"), p(0.025).alias("low"), p(0.975).alias("high"), r(F.avg("m") / (F.stddev_samp("m") / F.sqrt(F.count(F.lit(1)))), 4).alias("t"))
