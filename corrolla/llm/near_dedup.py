@@ -291,8 +291,8 @@ def near_duplicates(
     whole sets in either case.
 
     Null or empty texts and texts without words: n_shingles 0, linked with nothing, kept. Rows alike are of one class;
-    a repeated id stands for all its texts' classes, each row with its own. A null id takes part, but names a component
-    only where no other id is in it. Further columns of docs play no part. An empty table gives an empty result.
+    a repeated id stands for all its texts' classes, each row with its own. A null id has the component of the
+    rows with its set, and is compared with others only through them. Further columns of docs play no part. An empty table gives an empty result.
     """
     signed = written(sketch_documents(docs, sketch, words, id_col, text_col), "sketches")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))

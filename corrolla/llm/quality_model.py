@@ -16,7 +16,8 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """docs with the statistics that rules are made of, and their names. All are doubles, never null."""
+    """Each row of docs as a structure _row beside the statistics that rules are made of, and their names. All are
+    doubles, never null; whatever docs' columns are called, they clash with nothing."""
     counted = {
         "_upper": r"\p{Lu}",
         "_digit": r"\p{Nd}",
@@ -26,7 +27,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     }
     text = F.col("_stext")
     length = F.char_length(text)
-    df = docs.withColumn("_stext", text_or_empty(text_col))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty(text_col).alias("_stext"))
     df = df.withColumn("_strim", F.trim(text, F.lit(_SPACE_CHARS)))
     df = df.withColumn("_swords", F.when(F.col("_strim") == "", F.array().cast("array<string>")).otherwise(F.split("_strim", _SPACE)))
     df = df.withColumn("_slines", F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_SPACE_CHARS)) != ""))
@@ -46,7 +47,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     }
     for name, pattern in counted.items():
         statistics[f"s{name}"] = (length - F.char_length(F.regexp_replace(text, pattern, ""))) / F.col("_schars")
-    df = df.select(*[F.col(c) for c in docs.columns], *[x.cast("double").alias(n) for n, x in statistics.items()])
+    df = df.select("_row", *[x.cast("double").alias(n) for n, x in statistics.items()])
     return df, list(statistics)
 
 
@@ -184,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     own = own.select(F.col(id_col).alias("_lid"), "_y").orderBy(F.xxhash64("_lid", F.lit("fit")), "_lid").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_dtext"))
     some, names = text_statistics(rows.join(F.broadcast(own), rows["_did"] == own["_lid"]), "_dtext")  # fit_rows ids at most
-    taught = some.select("_did", "_y", *names).groupBy("_did").agg(F.first("_y").alias("_y"), *[F.min(n).alias(n) for n in names])
+    taught = some.select("_row._did", "_row._y", *names).groupBy("_did").agg(F.first("_y").alias("_y"), *[F.min(n).alias(n) for n in names])
     pdf = taught.orderBy("_did").toPandas()
     return fit_rules({n: pdf[n].to_numpy(float) for n in names}, pdf["_y"].to_numpy(float))
 
@@ -194,10 +195,12 @@ def held_out(id_col: str) -> Column:
 
 
 def score_documents(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, higher where label 1 is likelier. Only the text counts; null counts as empty, and
+    """docs with a score from 0 to 1, in place of a column of that name if there is one, higher where label 1 is
+    likelier. Only the text counts; null counts as empty, and
     empty texts are scored by their statistics like others. An empty table gives an empty result."""
-    scored, names = text_statistics(docs, text_col)
-    return scored.withColumn(score_col, model.score()).drop(*names)
+    scored, _ = text_statistics(docs, text_col)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != score_col]
+    return scored.select(*kept, model.score().alias(score_col))
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
