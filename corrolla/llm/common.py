@@ -32,17 +32,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/corrolla/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove intermediates that nothing will read again: what was made of them must be written itself."""
+    for df in frames:
+        _remove(df.sparkSession, df._written_path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != df._written_path]
 
 
 def forget_written() -> None:
     """Remove every intermediate written so far; DataFrames that still read one become invalid."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(*_WRITTEN.pop())
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 
