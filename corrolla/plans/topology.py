@@ -12,10 +12,6 @@ from corrolla.functions import series as S
 from corrolla.sources import tables as T
 
 
-def _every(spark, d, step: int):
-    return _pairs(spark, d).where(F.col("rn") % step == 0)
-
-
 @query("gamma_series")
 def _(spark, d):
     g = N.window_invariants(_pairs(spark, d), ["rn"])
@@ -36,12 +32,12 @@ def _(spark, d):
 
 @query("h1_barcode")
 def _(spark, d):
-    return N.barcodes(_every(spark, d, 10), ["rn"]).select("rn", "dim", r("birth").alias("birth"), r("death").alias("death"))
+    return N.barcodes(_pairs(spark, d), ["rn"]).select("rn", "dim", r("birth").alias("birth"), r("death").alias("death"))
 
 
 @query("truncation_audit")
 def _(spark, d):
-    pairs = _every(spark, d, 20)
+    pairs = _pairs(spark, d)
     cut = N.barcodes(pairs, ["rn"]).where("dim = 1").groupBy("rn").agg(F.sum(F.col("death") - F.col("birth")).alias("cut"))
     full = N.barcodes(pairs, ["rn"], far=2.0).where("dim = 1").groupBy("rn").agg(F.sum(F.col("death") - F.col("birth")).alias("full"), F.count_if(F.col("birth") > N.FAR).alias("late"))
     return full.join(cut, "rn", "left").select("rn", r("cut").alias("l1_cut"), r("full").alias("l1_full"), F.col("late").alias("n_late"))
@@ -60,12 +56,12 @@ c AS (SELECT rn, count(DISTINCT lo) AS betti0, count(*) AS n FROM (SELECT rn, s,
 SELECT rn, betti0, greatest(0, coalesce(m, 0) - n + betti0) AS betti1 FROM c LEFT JOIN m USING (rn)""",
 )
 def _(spark, d):
-    return N.window_invariants(_every(spark, d, 40), ["rn"], set()).select("rn", "betti0", "betti1")
+    return N.window_invariants(_pairs(spark, d).where("rn % 40 = 0"), ["rn"], set()).select("rn", "betti0", "betti1")  # as its SQL has it
 
 
 @query("betti_sweep")
 def _(spark, d):
-    pairs = _every(spark, d, 60).cache()
+    pairs = _pairs(spark, d).cache()
     out = None
     for k in range(2, 19):
         one = N.window_invariants(pairs, ["rn"], set(), k / 20).select("rn", F.lit(k / 20).alias("threshold"), "betti0", "betti1")
@@ -86,7 +82,7 @@ for _name, _columns in {
 
     @query(_name)
     def _(spark, d, columns=_columns):
-        g = N.window_invariants(_every(spark, d, 5), ["rn"], {"graph"})
+        g = N.window_invariants(_pairs(spark, d), ["rn"], {"graph"})
         return g.select("rn", *[(r(c) if N.FIELDS[c] == "double" else F.col(c)).alias(c) for c in columns])
 
 
@@ -94,11 +90,11 @@ for _name, _column in {"max_cliques": "n_cliques", "removal_impact": "max_remova
 
     @query(_name)
     def _(spark, d, column=_column):
-        return N.window_invariants(_every(spark, d, 20), ["rn"], {"heavy"}).select("rn", r(F.col(column).cast("double")).alias(column))
+        return N.window_invariants(_pairs(spark, d), ["rn"], {"heavy"}).select("rn", r(F.col(column).cast("double")).alias(column))
 
 
 def _scenarios(spark, d, excluded):
-    pairs = _every(spark, d, 10)
+    pairs = _pairs(spark, d)
     symbols = T.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
     every = excluded.unionByName(spark.createDataFrame([("all", "-")], "scenario string, symbol string"))
     g = N.window_invariants(N.scenarios(pairs, symbols, every), ["scenario", "rn"])
@@ -140,7 +136,7 @@ def N_window(key: str):
 def _(spark, d):
     rets, out = _rets(spark, d), None
     for n in (20, 30, 60, 90):
-        g = N.window_invariants(C.rolling_pairs(rets, n).where("rn % 20 = 0"), ["rn"], {"cycles"}).agg(F.count(F.lit(1)).alias("n_windows"), r(F.avg("n_edges")).alias("n_edges"), r(F.avg("n_unb")).alias("n_unb"))
+        g = N.window_invariants(C.rolling_pairs(rets, n), ["rn"], {"cycles"}).agg(F.count(F.lit(1)).alias("n_windows"), r(F.avg("n_edges")).alias("n_edges"), r(F.avg("n_unb")).alias("n_unb"))
         one = g.withColumn("w", F.lit(n))
         out = one if out is None else out.unionByName(one)
     return out
