@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary
+    folder; on a cluster that would be a folder that no other machine sees, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corrolla-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -61,6 +65,26 @@ def forget_written() -> None:
 atexit.register(forget_written)
 
 
+#: Bytes of a table that are sent to every executor at most, whatever its rows are wide.
+SENT_BYTES = 16 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of df's values, nearly: 8 for a number, the length of a text, 24 for each member of an array."""
+    each = F.lit(16)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        wide = F.octet_length(field.name) if kind in ("string", "binary") else 24 * F.size(field.name) if kind == "array" else F.lit(8)
+        each = each + F.coalesce(wide, F.lit(0)).cast("long")
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
+def send_small(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to every executor if it has SENT_BYTES at most; beyond, Spark joins it by a shuffle. df should
+    be written, as it is read twice."""
+    return F.broadcast(df) if size_of(df) <= SENT_BYTES else df
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -112,10 +112,10 @@ def test_sketch_registers_estimate_and_merge():
 
 
 def test_substring_passages(docs, none):
-    got = [tuple(r) for r in substring_dedup.substring_duplicates(docs).collect()]
+    got = substring_dedup.substring_duplicates(docs).collect()
     by = {}
-    for i, a, b, s in got:
-        by.setdefault(i, []).append((a, b, s))
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], r["source_id"]))
     assert by[6] == [(0, 200, 5)] and by[7] == [(0, 200, 5)]
     [(a, b, s)] = by[9]
     assert s == 8 and a == 0 and 69 <= b <= 72
@@ -123,17 +123,7 @@ def test_substring_passages(docs, none):
     cut = {r["doc_id"]: r["text"] for r in substring_dedup.cut_passages(docs, substring_dedup.substring_duplicates(docs)).collect()}
     assert cut[6] == "" and cut[0] is None and len(cut[9].split()) < 153 and cut[8].count(".") == 3
     assert substring_dedup.substring_duplicates(none).count() == 0
-
-
-def test_compact_windows_hold_every_sequence_once():
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 1 << 60, 40).astype(np.uint64)
-    keys, spans = substring_dedup.compact_windows(x, 1, 5)
-    value = dict(zip(substring_dedup.mix(x ^ np.uint64(0xA0761D6478BD642F)).view(np.int64).tolist(), range(40)))
-    for a in range(40):
-        for b in range(a + 4, 40):
-            own = [value[k] for k, s in zip(keys.tolist(), spans.tolist()) if s >> 32 <= a <= value[k] <= b <= s & 0xFFFFFFFF]
-            assert len(own) == 1
+    assert substring_dedup.cut_passages(none, substring_dedup.substring_duplicates(none)).count() == 0
 
 
 def test_quality_model_learns_rules_and_takes_odd_rows(spark, docs, none):
