@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,20 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         _remove(df.sparkSession, df._written_path)
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != df._written_path]
+    gc.collect()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that nothing refers to
+
+
+def mark_written() -> set[str]:
+    """What of the intermediates is not the caller's: all written so far."""
+    return {path for _, path in _WRITTEN}
+
+
+def discard_since(mark: set[str], keep: DataFrame) -> None:
+    """Remove the intermediates written since the mark, but for `keep`."""
+    for spark, path in [x for x in _WRITTEN if x[1] not in mark and x[1] != keep._written_path]:
+        _remove(spark, path)
+        _WRITTEN.remove((spark, path))
 
 
 def forget_written() -> None:
