@@ -40,26 +40,20 @@ def _learned(turns: Column) -> Column:
     return F.aggregate(turns, zero, step, lambda acc: F.array_join(acc["spans"], ","))
 
 
-def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each row of pairs (pair_id, chosen_id, rejected_id): n_prompt_turns, prompt, chosen, rejected,
-    chosen_mask, rejected_mask.
+def format_pairs(rows: DataFrame, chosen: str, rejected: str, *keys: str) -> DataFrame:
+    """keys, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask and usable for rows with two arrays of turns.
 
-    The prompt is the longest run of first turns that both conversations have, by role and text; each completion is what
-    follows in its conversation. A mask lists the stretches of a completion that are learned: an assistant's text with
-    its closing mark. A conversation that is null or missing has no turns. Conversations are rows of the result, so
-    their length is bounded by a row's. Further columns play no part; empty tables give an empty result.
+    The prompt is the longest run of first turns that both have, by role and text; each completion is what follows in
+    its own. A mask lists the stretches of a completion that are learned: an assistant's text with its closing mark.
+    A pair is usable if both masks list something and the completions differ; the others stay, marked.
     """
-    own = conversations_as_rows(turns)
-    side = lambda x: own.select(F.col("conv_id").alias(f"{x}_id"), F.col("turns").alias(f"_{x}"))
-    rows = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
-    none = F.array().cast(own.schema["turns"].dataType)
-    rows = rows.withColumns({f"_{x}": F.coalesce(f"_{x}", none) for x in ("chosen", "rejected")})
+    rows = rows.select(*keys, F.col(chosen).alias("_chosen"), F.col(rejected).alias("_rejected"))
     shorter = "least(size(_chosen), size(_rejected))"
     same = "get(_chosen, i).role = get(_rejected, i).role AND get(_chosen, i).text = get(_rejected, i).text"
     rows = rows.withColumn("_n", F.expr(f"array_min(filter(sequence(0, {shorter}), i -> i >= {shorter} OR NOT ({same})))"))
     rest = lambda x: F.slice(F.col(x), F.col("_n") + 1, F.greatest(F.size(x) - F.col("_n"), F.lit(0)))
-    return rows.select(
-        "pair_id",
+    out = rows.select(
+        *keys,
         F.col("_n").cast("long").alias("n_prompt_turns"),
         _written(F.slice("_chosen", F.lit(1), F.col("_n"))).alias("prompt"),
         _written(rest("_chosen")).alias("chosen"),
@@ -67,13 +61,44 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         _learned(rest("_chosen")).alias("chosen_mask"),
         _learned(rest("_rejected")).alias("rejected_mask"),
     )
+    return out.withColumn("usable", F.expr("chosen_mask <> '' AND rejected_mask <> '' AND chosen <> rejected"))
+
+
+def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """format_pairs for each row of pairs (pair_id, chosen_id, rejected_id), which names two conversations.
+
+    A conversation that is null or missing has no turns. Conversations are rows of the result, so their length is bounded
+    by a row's. Further columns play no part; empty tables give an empty result.
+    """
+    own = conversations_as_rows(turns)
+    side = lambda x: own.select(F.col("conv_id").alias(f"{x}_id"), F.col("turns").alias(f"_{x}"))
+    rows = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
+    none = F.array().cast(own.schema["turns"].dataType)
+    rows = rows.withColumns({f"_{x}": F.coalesce(f"_{x}", none) for x in ("chosen", "rejected")})
+    return format_pairs(rows, "_chosen", "_rejected", "pair_id")
+
+
+def swapped_replies(turns: DataFrame) -> DataFrame:
+    """format_pairs for each conversation (pair_id is its id): up to its last reply as chosen, and the same with that
+    reply taken from its neighbour, the conversation whose id differs in the last bit, as rejected.
+
+    So all turns before the reply are shared. Without a neighbour that replies, the rejected one ends before the reply;
+    a conversation without any reply is both; neither is usable, nor are equal replies. Null ids are left out; null
+    roles, texts and turn numbers are taken as by conversations_as_rows; empty tables give an empty result.
+    """
+    own = conversations_as_rows(turns)
+    own = own.withColumn("_at", F.expr(f"array_max(filter(sequence(0, size(turns) - 1), i -> turns[i].role = '{LEARNED_ROLE}'))"))
+    other = own.where("_at IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.expr("turns[_at].text").alias("_other"))
+    rows = own.join(other, "conv_id", "left")
+    rows = rows.withColumn("_chosen", F.expr("CASE WHEN _at IS NULL THEN turns ELSE slice(turns, 1, _at + 1) END"))
+    put = "array(named_struct('turn', turns[_at].turn, 'role', turns[_at].role, 'text', _other))"
+    rejected = f"CASE WHEN _at IS NULL THEN turns WHEN _other IS NULL THEN slice(turns, 1, _at) ELSE concat(slice(turns, 1, _at), {put}) END"
+    return format_pairs(rows.withColumn("_rejected", F.expr(rejected)).withColumnRenamed("conv_id", "pair_id"), "_chosen", "_rejected", "pair_id")
 
 
 def op7_preference_pairs(spark, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are taken as the chosen and the rejected one of pair k."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    ids = turns.where("conv_id IS NOT NULL").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
-    return preference_pairs(turns, ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id")))
+    """The table names no preferences: a conversation's own reply is chosen over its neighbour's."""
+    return swapped_replies(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 OP7_SQL = """
@@ -81,31 +106,22 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
 ), n AS (
-  SELECT *, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS is_chosen,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said
   FROM t
-), p AS (SELECT DISTINCT pair_id FROM n), m AS (
-  SELECT p.pair_id, least(count(*) FILTER (is_chosen), count(*) FILTER (NOT is_chosen)) AS shorter
-  FROM p JOIN n USING (pair_id) GROUP BY p.pair_id
-), d AS (
-  SELECT a.pair_id, min(a.i) AS differs
-  FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.i = b.i AND a.is_chosen AND NOT b.is_chosen
-  WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id
-), c AS (SELECT pair_id, least(shorter, coalesce(differs, shorter)) AS common FROM m LEFT JOIN d USING (pair_id)
-), w AS (
-  SELECT n.*, c.common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said
-  FROM n JOIN c USING (pair_id)
-), s AS (
-  SELECT *, coalesce(sum(length(said)) OVER (PARTITION BY conv_id, i >= common ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM w
-)
-SELECT pair_id, any_value(common) AS n_prompt_turns,
-  coalesce(string_agg(said, '' ORDER BY i) FILTER (is_chosen AND i < common), '') AS prompt,
-  coalesce(string_agg(said, '' ORDER BY i) FILTER (is_chosen AND i >= common), '') AS chosen,
-  coalesce(string_agg(said, '' ORDER BY i) FILTER (NOT is_chosen AND i >= common), '') AS rejected,
-  coalesce(string_agg((before + length(role) + 5)::BIGINT || ':' || (before + length(role) + 5 + length(text) + 7)::BIGINT, ',' ORDER BY i)
-    FILTER (is_chosen AND i >= common AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg((before + length(role) + 5)::BIGINT || ':' || (before + length(role) + 5 + length(text) + 7)::BIGINT, ',' ORDER BY i)
-    FILTER (NOT is_chosen AND i >= common AND role = 'assistant'), '') AS rejected_mask
-FROM s GROUP BY pair_id
+), k AS (SELECT conv_id, count(*) AS turns, max(i) FILTER (role = 'assistant') AS last FROM n GROUP BY conv_id),
+reply AS (SELECT n.conv_id, n.text FROM n JOIN k ON n.conv_id = k.conv_id AND n.i = k.last),
+p AS (
+  SELECT k.conv_id, k.last, own.text AS own, other.text AS other,
+    CASE WHEN k.last IS NULL THEN k.turns WHEN own.text = other.text THEN k.last + 1 ELSE k.last END AS common
+  FROM k LEFT JOIN reply own ON own.conv_id = k.conv_id LEFT JOIN reply other ON other.conv_id = xor(k.conv_id, 1)
+), d AS (SELECT *, last IS NOT NULL AND own IS DISTINCT FROM other AS differ FROM p)
+SELECT d.conv_id AS pair_id, any_value(common) AS n_prompt_turns,
+  coalesce(string_agg(said, '' ORDER BY i) FILTER (i < common), '') AS prompt,
+  any_value(CASE WHEN differ THEN '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) ELSE '' END) AS chosen,
+  any_value(CASE WHEN differ AND other IS NOT NULL THEN '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) ELSE '' END) AS rejected,
+  any_value(CASE WHEN differ THEN '14:' || (14 + length(own) + 7) ELSE '' END) AS chosen_mask,
+  any_value(CASE WHEN differ AND other IS NOT NULL THEN '14:' || (14 + length(other) + 7) ELSE '' END) AS rejected_mask,
+  any_value(differ AND other IS NOT NULL) AS usable
+FROM d JOIN n USING (conv_id) GROUP BY d.conv_id
 """
