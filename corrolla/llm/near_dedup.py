@@ -8,17 +8,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corrolla.llm.common import join_skewed, read_documents, text_or_empty, written
+from corrolla.llm.common import join_skewed, read_documents, send_small, text_or_empty, written
 from corrolla.llm.components import components
-from corrolla.llm.shingles import mix, set_digest, shingle_values, word_values
+from corrolla.llm.shingles import mix, set_digest, shingles_of_texts, words_of_texts
 
 #: Documents that a worker sketches at a time.
 SLICE = 256
-#: Candidate classes whose ids are sent to every executor at most; beyond, texts are fetched by a shuffled join.
-SENT_CLASSES = 200_000
-#: Classes, and shingles of all of them, that one side of a block holds; classes of a group that is compared in blocks.
-BLOCK_CLASSES, BLOCK_SHINGLES, GROUP_CLASSES = 512, 400_000, 16_384
+#: Classes, and shingles of all of them, that one side of a block holds.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
 
 
 @dataclass(frozen=True)
@@ -85,6 +84,12 @@ class Sketch:
         return (lo + hi) / 2
 
 
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of shingles of each text (no nulls), in order."""
+    values, starts = shingles_of_texts(*words_of_texts(texts), words)
+    return [np.unique(values[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
 def sketch_documents(docs: DataFrame, sketch: Sketch, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, n (size of the shingle set), digest (of the set; null if empty), registers (binary; null if empty)."""
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
@@ -94,7 +99,7 @@ def sketch_documents(docs: DataFrame, sketch: Sketch, words: int, id_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                sets = [np.unique(shingle_values(word_values(t), words)) for t in part.column(1).to_pylist()]
+                sets = shingle_sets(part.column(1), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 registers: list = [None] * len(sets)
                 for i, r in zip(full, sketch.registers([sets[i] for i in full])):
@@ -113,60 +118,29 @@ def sketch_documents(docs: DataFrame, sketch: Sketch, words: int, id_col: str =
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """wanted (node, _id, n, registers) with each node's whole set (binary), recomputed from a document that has it."""
+    """wanted (node, _id, n) with each node's whole set (binary), recomputed from a document that has it."""
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    few = wanted.count() <= SENT_CLASSES
-    found = rows.join(F.broadcast(wanted) if few else wanted, "_id")
+    found = rows.join(send_small(wanted), "_id")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                text, node = part.column(1).to_pylist(), part.column(2).to_pylist()
-                sets = [np.unique(shingle_values(word_values(t), words)) for t in text]
-                own = [set_digest(s) == d for s, d in zip(sets, node)]  # an id may come with several texts
-                kept = part.select([2, 3, 4]).filter(pa.array(own))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array([s.tobytes() for s, ok in zip(sets, own) if ok], pa.binary())],
-                    names=["node", "n", "registers", "values"],
-                )
-
-    out = found.select("_id", "_text", "node", "n", "registers").mapInArrow(run, "node binary, n long, registers binary, values binary")
-    return out
-
+                sets = shingle_sets(part.column(0), words)
+                own = [set_digest(s) == d for s, d in zip(sets, part.column(1).to_pylist())]  # an id may come with several texts
+                kept = part.select([1, 2]).filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([s.tobytes() for s, ok in zip(sets, own) if ok], pa.binary())], names=["node", "n", "values"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, sketch: Sketch, percent: int, margin: float) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. Pairs whose estimate is more than margin
-    below are not compared; margin is many standard errors of the estimate."""
-    side = lambda x: sets.select(*[F.col(c).alias(c if c == "node" else f"{x}_{c}") for c in sets.columns]).withColumnRenamed("node", x)
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    close = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    joined = joined.where(close).select("a", "b", "a_n", "b_n", "a_registers", "b_registers", "a_values", "b_values")
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-            ra, rb = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(i).to_pylist()]) for i in (4, 5))
-            likely = sketch.estimate(ra, rb, na, nb) >= percent / 100 - margin
-            keep = []
-            for i in np.flatnonzero(likely):
-                x, y = (np.frombuffer(batch.column(c)[int(i)].as_py(), np.uint64) for c in (6, 7))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(int(i))
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return written(joined.mapInArrow(run, "a binary, b binary"), "verified")
+    return found.select("_text", "node", "n").mapInArrow(run, "node binary, n long, values binary")
 
 
 def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links that connect what is alike in one block, a tree's worth at most: its classes' shingles are counted in common
-    by products of membership matrices, some thousand shingles at a time."""
-    pdf = pdf.sort_values("node", ignore_index=True)
+    """Links that connect what is alike between the two sides of one block, a tree's worth at most: the classes' shingles
+    are counted in common by products of membership matrices, some thousand shingles at a time. Side 0 is compared with
+    itself and with side 1."""
+    pdf = pdf.sort_values(["side", "node"], ignore_index=True)
     sets = [np.frombuffer(x, np.uint64) for x in pdf["values"]]
-    own = np.array([len(x) for x in sets])
+    own, left = np.array([len(x) for x in sets]), int((pdf["side"] == 0).sum())
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), own)
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
@@ -175,16 +149,16 @@ def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     shared = np.repeat(width > 1, width)
     column = (np.cumsum(np.r_[0, (width > 1)])[:-1]).repeat(width)[shared]
     row = row[shared]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    both = np.zeros((left, len(sets)), dtype=np.float32)
     step = 4096
     cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + step, step))
     for a, b in zip(cuts, np.r_[cuts[1:], len(column)]):
         if a < b:
             m = np.zeros((len(sets), step), dtype=np.float32)
             m[row[a:b], column[a:b] % step] = 1
-            both += m @ m.T
+            both += m[:left] @ m.T
     both = both.astype(np.int64)
-    alike = 100 * both >= percent * (own[:, None] + own[None, :] - both)
+    alike = 100 * both >= percent * (own[:left, None] + own[None, :] - both)
     parent = list(range(len(sets)))
 
     def root(x):
@@ -216,59 +190,84 @@ def _unlikely_pairs(groups: DataFrame, classes: DataFrame, sketch: Sketch, perce
                 low = sketch.estimate(a, b, na, nb) < percent / 100 - margin
                 yield batch.select([0]).filter(pa.array(low))
 
-    return rows.mapInArrow(run, "label binary")
-
-
-def _linked_in_blocks(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links within candidate groups. A group's classes are dealt into chunks and each pair of chunks is one block."""
-    sizes = sets.select("node", "n").join(groups, "node").groupBy("label").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("t"))
-    chunks = F.greatest(F.ceil(F.col("g") / BLOCK_CLASSES), F.ceil(F.col("t") / BLOCK_SHINGLES)).cast("int")
-    dealt = groups.join(sizes.select("label", chunks.alias("chunks")), "label")
-    dealt = dealt.select("node", "label", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = written(dealt, "dealt")
-    rows = sets.select("node", "values").join(F.broadcast(dealt) if dealt.count() <= SENT_CLASSES else dealt, "node")
-    return rows.groupBy("label", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "a binary, b binary")
-
-
-def _linked_by_leaders(members: DataFrame, sets: DataFrame, sketch: Sketch, percent: int, margin: float, star_rounds: int) -> DataFrame:
-    """Links within groups too large for blocks. In a bucket, members are first compared with one leader, in star_rounds
-    rounds with other leaders; as linked classes need no more comparing, only members outside a bucket's largest
-    component are then compared with all of the others', so no link between components is lost."""
-    links = None
-    labels = None
-
-    def labelled() -> DataFrame:
-        own = members if labels is None else members.join(labels, "node", "left")
-        label = F.col("node") if labels is None else F.coalesce("label", "node")
-        own = own.select("band", "node", label.alias("label"))
-        split = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        return written(own.join(split, "band"), "open")
-
-    def take(pairs: DataFrame):
-        nonlocal links, labels
-        found = _verified(written(pairs.distinct(), "pairs"), sets, sketch, percent, margin)
-        if found.take(1):
-            links = found if links is None else links.unionByName(found)
-            labels = written(components(links), "labels")
-
-    ordered = lambda: [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    for turn in range(star_rounds):
-        open_ = labelled()
-        if not open_.take(1):
-            break
-        leader = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("l"))
-        star = open_.join(leader, "band").where("l.label <> label")
-        if turn == 0:  # one leader each to begin with: the first in order of all its buckets'
-            star = star.groupBy("node").agg(F.min("l").alias("l"))
-        take(star.select(F.col("node").alias("x"), F.col("l.node").alias("y")).select(ordered()))
-    open_ = labelled()
-    if open_.take(1):
-        sizes = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m")).select("band", F.col("m.label").alias("main"))
-        outside = open_.join(main, "band").where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("own"))
-        take(outside.join(open_, "band").where("own <> label").select("x", F.col("node").alias("y")).select(ordered()))
-    return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return rows.mapInArrow(run, "label long")
+
+
+def _parts(rows: DataFrame, key: str) -> DataFrame:
+    """key and parts of the groups of rows (key, n) that need more than one side of a block."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return written(rows.groupBy(key).agg(parts.alias("parts")).where("parts > 1"), "parts")
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the number of parts of their group, and which they are in (column name)."""
+    out = rows.join(send_small(parts), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return out.withColumn(name, F.pmod(F.xxhash64("node"), "parts").cast("int"))
+
+
+def _links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all that is alike within each candidate group (label, node), whatever its size.
+
+    A group is dealt into parts that one side of a block holds. First each part is compared with itself and with the
+    first one, whose classes so are leaders; a group of one part is done then. In larger ones, classes outside the
+    group's largest component are then compared with all classes of the group: links inside a component change nothing.
+    So a group costs its size times one part, and its outsiders times its size.
+    """
+    sized = written(groups.join(sets.select("node", "n"), "node"), "sized")
+    parts = _parts(sized, "label")
+    dealt = _dealt(sized, parts, "label", "part")
+    own = dealt.select("node", "label", "part", F.lit(0).alias("side"))
+    # the first part goes to every other one's block
+    lead = dealt.where("part = 0 AND parts > 1").select("node", "label", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"))
+    places = written(own.unionByName(lead), "blocks")
+    rows = sets.select("node", "values").join(send_small(places), "node")
+    block = lambda pdf: _block_links(pdf, percent)
+    links = written(rows.groupBy("label", "part").applyInPandas(block, "a binary, b binary"), "links")
+    if not parts.take(1):
+        return links
+    large = written(sized.join(send_small(parts.select("label")), "label"), "large")
+    of = components(links).select("node", F.col("label").alias("own"))
+    marked = written(large.join(of, "node", "left").withColumn("own", F.coalesce("own", "node")), "marked")
+    main = marked.groupBy("label", "own").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.max(F.struct("c", "own")).alias("m"))
+    outside = marked.join(send_small(written(main.select("label", F.col("m.own").alias("main")), "main")), "label").where("own <> main")
+    outside = written(outside.select("node", "label", "n"), "outside")
+    if not outside.take(1):
+        return links
+    few = _parts(outside, "label")
+    left = _dealt(outside, few, "label", "i").select("node", "label", "i")
+    counts = written(left.groupBy("label").agg((F.max("i") + 1).alias("lefts")), "lefts")
+    right = _dealt(large, parts, "label", "part").join(send_small(counts), "label")
+    right = right.select("node", "label", "part", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.lit(1).alias("side"))
+    left = left.join(send_small(parts), "label").select("node", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "i", F.lit(0).alias("side"))
+    places = written(left.unionByName(right), "blocks")
+    rows = sets.select("node", "values").join(send_small(places), "node")
+    return links.unionByName(rows.groupBy("label", "part", "i").applyInPandas(block, "a binary, b binary"))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, sketch: Sketch, id_col: str, text_col: str, margin: float) -> DataFrame:
+    """For each row of docs: _id, n (shingles), digest (of the set), label (digest of one set of the component); the last two
+    are null without words."""
+    signed = written(sketch_documents(docs, sketch, words, id_col, text_col), "sketches")
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = written(classes.withColumnRenamed("digest", "node"), "classes")
+    width = 2 * sketch.rows
+    at = F.sequence(F.lit(0), F.lit(sketch.bands - 1))
+    short = F.xxhash64("node")  # stands for the class in the bands; a clash of two adds candidates
+    band = classes.select(short.alias("s"), F.explode(F.transform(at, lambda i: F.xxhash64(i, F.expr("registers").substr(i * width + 1, F.lit(width))))).alias("band"))
+    lead = band.groupBy("band").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a <> z").select("band", "a")
+    stars = band.join(written(lead, "lead"), "band").where("s <> a").select("a", F.col("s").alias("b"))
+    groups = components(stars).select(F.col("node").alias("s"), "label")
+    groups = written(groups.join(classes.select(short.alias("s"), "node"), "s").select("label", "node"), "groups")
+    low = written(_unlikely_pairs(groups, classes, sketch, percent, margin), "unlikely")
+    groups = written(groups.join(low, "label", "left_anti"), "likely")
+    wanted = written(groups.join(classes, "node").select("node", "_id", "n"), "wanted")
+    sets = written(_sets_of(wanted, docs, words, id_col, text_col).dropDuplicates(["node"]), "sets")
+    links = written(_links(sets, groups, percent), "links")
+    rows = signed.select("_id", "n", "digest")
+    if not links.take(1):
+        return rows.withColumn("label", F.col("digest"))
+    of = components(links).select(F.col("node").alias("digest"), "label")
+    return rows.join(written(of, "of"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
 def near_duplicates(
@@ -279,61 +278,68 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     margin: float = 0.2,
-    star_rounds: int = 3,
 ) -> DataFrame:
     """For each row of docs: id_col, n_shingles, component_id (the smallest id reachable over links), kept.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles (one of all
     words if there are fewer). Documents with equal sets form one class and are compared once. Classes that share a
-    band of registers are candidates; those that candidates connect make a group; of two, those whose joint estimate is far too low are let go. A group of at most GROUP_CLASSES is
-    compared whole, in blocks of two chunks that different tasks hold; no pair is a row, and a block gives no more
-    links than it has classes. Larger groups are compared by leaders, see _linked_by_leaders. Links are tested on the
-    whole sets in either case.
+    band of registers are candidates; those that candidates connect make a group; of two, those whose joint estimate is
+    more than margin, many standard errors, too low are let go. Within a group links are tested on the whole sets, in
+    blocks of bounded size (_links); no pair is a row, and a block gives no more links than it has classes.
 
     Null or empty texts and texts without words: n_shingles 0, linked with nothing, kept. Rows alike are of one class;
     a repeated id stands for all its texts' classes, each row with its own. A null id has the component of the
-    rows with its set, and is compared with others only through them. Further columns of docs play no part. An empty table gives an empty result.
+    rows with its set, and is compared with others only through them. Further columns of docs play no part. An empty
+    table gives an empty result.
     """
-    signed = written(sketch_documents(docs, sketch, words, id_col, text_col), "sketches")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    classes = written(classes.withColumnRenamed("digest", "node"), "classes")
-    width = 2 * sketch.rows
-    at = F.sequence(F.lit(0), F.lit(sketch.bands - 1))
-    short = F.xxhash64("node")  # stands for the class in the bands; a clash of two adds candidates
-    band = classes.select(short.alias("s"), F.explode(F.transform(at, lambda i: F.xxhash64(i, F.expr("registers").substr(i * width + 1, F.lit(width))))).alias("band"))
-    counted = band.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
-    shared = written(counted.where("c > 1").select("band"), "shared")
-    short_members = band.join(shared, "band")
-    names = classes.select(short.alias("s"), "node")
-    members = written(short_members.join(names, "s").select("band", "node"), "members")
-    lead = members.groupBy("band").agg(F.min("node").alias("a"))
-    stars = members.join(lead, "band").where("node <> a").select("a", F.col("node").alias("b"))
-    groups = written(components(stars), "groups")
-    groups = written(groups.join(_unlikely_pairs(groups, classes, sketch, percent, margin), "label", "left_anti"), "likely")
-    wanted = written(groups.join(classes, "node").select("node", "_id", "n", "registers"), "wanted")
-    sets = written(_sets_of(wanted, docs, words, id_col, text_col).dropDuplicates(["node"]), "sets")
-    large = groups.groupBy("label").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > GROUP_CLASSES).select("label")
-    large = written(large, "large")
-    some_large = bool(large.take(1))
-    links = written(_linked_in_blocks(sets, groups.join(large, "label", "left_anti") if some_large else groups, percent), "links")
-    if some_large:
-        inside = members.join(groups.join(large, "label").select("node"), "node")
-        links = links.unionByName(_linked_by_leaders(written(inside, "inside"), sets, sketch, percent, margin, star_rounds))
-    labels = written(components(links), "labels") if links.take(1) else None
-
-    label = F.col("node").alias("label") if labels is None else F.coalesce("label", "node").alias("label")
-    of_class = (classes if labels is None else classes.join(labels, "node", "left")).select("node", "_id", label)
-    of_class = written(of_class, "of_class")
-    first = of_class.groupBy("label").agg(F.min("_id").alias("component_id"))
-    of_class = written(of_class.join(first, "label").select(F.col("node").alias("digest"), "component_id"), "named")
-    rows = signed.select("_id", "n", "digest")
-    full = join_skewed(rows.where("n > 0"), of_class, "digest").select("_id", "n", "component_id")
+    rows = written(_labelled(docs, words, percent, sketch, id_col, text_col, margin), "labelled")
+    first = written(rows.where("n > 0").groupBy("label").agg(F.min("_id").alias("component_id")), "smallest")
+    full = join_skewed(rows.where("n > 0"), first, "label").select("_id", "n", "component_id")
     empty = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    out = full.unionByName(empty)
-    return out.select(
+    return full.unionByName(empty).select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
+def drop_near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    sketch: Sketch = Sketch(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    margin: float = 0.2,
+) -> DataFrame:
+    """One row of docs for each group of near-duplicates (see near_duplicates): the one with the smallest id, of several
+    texts of that id the one whose set has the smallest digest. Rows without words stay.
+
+    Texts of a repeated id are judged each by itself; of rows with the same id and the same set one stays, also without
+    words. A null id comes after all others. All columns are kept; an empty table gives an empty result.
+    """
+    rows = written(_labelled(docs, words, percent, sketch, id_col, text_col, margin), "labelled")
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "digest")
+    best = written(rows.where("n > 0").groupBy("label").agg(F.min(place).alias("best")), "best")
+    gone = join_skewed(rows.where("n > 0").select("label", place.alias("place")), best, "label").where("NOT place <=> best")
+    gone = written(gone.select("place._id", "place.digest").distinct(), "gone")
+    odd = written(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR _id IS NULL").select(F.col("_id").alias("_odd")), "odd")
+    left = docs.join(send_small(gone.select(F.col("_id").alias("_gone"))), docs[id_col] == F.col("_gone"), "left_anti")
+    if not odd.take(1):
+        return left
+    of_odd = docs[id_col].eqNullSafe(F.col("_odd"))
+    plain = left.join(send_small(odd), left[id_col].eqNullSafe(F.col("_odd")), "left_anti")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def digests(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(at).cast(pa.string()).fill_null(""), words)
+            own = pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], schema=batch.schema.append(pa.field("_set", pa.binary())))
+
+    several = docs.join(send_small(odd), of_odd, "left_semi")
+    several = several.mapInArrow(digests, StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
+    several = several.join(gone.withColumnsRenamed({"_id": "_gone", "digest": "_own"}), several[id_col].eqNullSafe(F.col("_gone")) & several["_set"].eqNullSafe(F.col("_own")), "left_anti")
+    return plain.unionByName(several.dropDuplicates([id_col, "_set"]).select(names))
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir), words=2, percent=80)

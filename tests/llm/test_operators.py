@@ -85,20 +85,49 @@ def test_near_duplicates_brute_force(docs, none, texts):
     assert near_dedup.near_duplicates(none, words=2).count() == 0
 
 
-def test_groups_too_large_for_blocks_give_the_same(spark, docs, monkeypatch):
+def test_groups_of_many_parts_brute_force(spark, monkeypatch):
+    """A family of near copies in which many pairs are below the threshold, in one part and in many."""
     rng = random.Random(1)
-    base = prose(rng, 120).split(" ")
     many = []
-    for i in range(60):
-        w = list(base)
-        for _ in range(rng.randrange(12)):
-            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
-        many.append((i, " ".join(w)))
+    for family, size in ((0, 400), (1, 60), (2, 2)):
+        base = prose(rng, 90).split(" ")
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(9)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+            many.append((len(many), " ".join(w)))
+    sets = [{tuple(x) for x in zip(words_of(t), words_of(t)[1:])} for _, t in many]
+    label = list(range(len(many)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    linked = 0
+    for a, b in combinations(range(len(many)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            linked += 1
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    want = {i: root(i) for i in range(len(many))}
+    assert linked < 400 * 399 / 4 and 3 < len(set(want.values())) < 200
     df = spark.createDataFrame(rows_of(many), SCHEMA)
-    blocks = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, words=2).collect()}
-    monkeypatch.setattr(near_dedup, "GROUP_CLASSES", 2)
-    leaders = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, words=2).collect()}
-    assert blocks == leaders and len(set(blocks.values())) < 60
+    for classes in (512, 23):
+        monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", classes)
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, words=2).collect()} == want
+
+
+def test_drop_near_duplicates_keeps_other_texts_of_an_id(spark, docs, none):
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    df = spark.createDataFrame([(1, a, 7), (1, a, 7), (5, a, 7), (5, b, 7), (None, b, 7), (6, None, 7), (6, "", 7), (9, " ", 7), (None, "own words", 7)], "doc_id long, text string, label int")
+    got = sorted((tuple(r) for r in near_dedup.drop_near_duplicates(df).collect()), key=str)
+    assert [(r[0], r[1]) for r in got if r[0] != 6] == sorted([(1, a), (5, b), (9, " "), (None, "own words")], key=str)
+    assert sum(r[0] == 6 for r in got) == 1 and {r[2] for r in got} == {7}
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {0, 1, 2, 5} and kept.where("doc_id = 5").count() == 1
+    assert near_dedup.drop_near_duplicates(none).count() == 0
 
 
 def test_sketch_registers_estimate_and_merge():
@@ -228,9 +257,24 @@ def test_preferences(spark):
     a, b = map(int, got[0]["chosen_mask"].split(":"))
     assert got[0]["chosen"][a:b] == "yes<|end|>" and got[0]["rejected"].count("why") == 1
     assert got[1]["chosen"] == "<|unknown|>\n<|end|>\n" and got[1]["rejected"] == "" and got[2]["chosen_mask"] == "14:22"
+    assert not got[0]["usable"] or got[0]["rejected_mask"]
     assert preferences.preference_pairs(turns.limit(0), pairs.limit(0)).count() == 0
 
 
+def test_swapped_replies(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "and"), (1, 0, "user", "ho"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    rows += [(3, 0, "user", "only"), (4, 0, None, None), (6, 0, "assistant", "same"), (7, None, "assistant", "same"), (None, 0, "assistant", "x")]
+    turns = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
+    got = {r["pair_id"]: r for r in preferences.swapped_replies(turns).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 6, 7}
+    assert got[0][1:] == (1, "<|user|>\nhi<|end|>\n", "<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n", "14:24", "14:23", True)
+    assert got[1]["rejected"] == got[0]["chosen"] and got[1]["n_prompt_turns"] == 1
+    assert (got[2]["chosen_mask"], got[2]["rejected"], got[2]["usable"]) == ("14:22", "", False)
+    assert got[3]["n_prompt_turns"] == 1 and got[4]["prompt"] == "<|unknown|>\n<|end|>\n" and not got[3]["usable"]
+    assert got[6]["n_prompt_turns"] == 1 and got[6]["chosen"] == got[6]["rejected"] == "" and not got[7]["usable"]
+    assert preferences.swapped_replies(turns.limit(0)).count() == 0
+
+
 def test_secret_spans(docs, none, texts):
     base = [
         ("assign", re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 8),
@@ -259,6 +303,18 @@ def test_trigram_queries_never_miss():
     assert found == [index.scan([b])[0] for b in blocks]
 
 
+def test_every_secret_rule_is_fast_on_long_runs():
+    import time
+
+    runs = ["eyJ", "eyJa.", ".eyJ" + "a" * 9, "eyJ" + "a" * 8 + ".", "password ", "password = ", "secret", "AKIA", "ab0", "ghp_", "ghp_a", "xoxb-", "AIza", "sk_live_", "-----BEGIN ", "-----BEGIN RSA PRIVATE KEY", "a", "http://", "http://a:", "http://a:b", "a+", " ", "A.", ":", "'"]
+    for rule in secrets.RULES:
+        for piece in runs:
+            for text in (piece * (1_000_000 // len(piece)), piece * (1_000_000 // len(piece)) + ".eyJ"):
+                start = time.process_time()
+                sum(1 for _ in rule.compiled.finditer(text))
+                assert time.process_time() - start < 1.5, (rule.kind, piece)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 12)).astype("float32")
