@@ -52,8 +52,13 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         _remove(df.sparkSession, df._written_path)
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != df._written_path]
+    tidy(frames[0])
+
+
+def tidy(df: DataFrame) -> None:
+    """Let go of the shuffle files of plans that nothing refers to: Spark removes them once the driver's garbage is gone."""
     gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that nothing refers to
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def mark_written() -> set[str]:
