@@ -179,8 +179,11 @@ def _unlikely_pairs(groups: DataFrame, classes: DataFrame, sketch: Sketch, perce
     """Labels of groups of two whose sketches put them more than margin, many standard errors, below the threshold:
     their texts need not be fetched."""
     two = groups.groupBy("label").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("a"), F.max("node").alias("b")).where("g = 2")
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    rows = two.join(side("a"), "a").join(side("b"), "b").select("label", "n_a", "n_b", "r_a", "r_b")
+    two = written(two, "two")
+    ends = two.select("label", F.col("a").alias("node"), F.lit(True).alias("first")).unionByName(two.select("label", F.col("b").alias("node"), F.lit(False).alias("first")))
+    own = classes.join(send_small(written(ends, "ends")), "node")
+    one = lambda x, c: F.max(F.when(F.col("first") == x, F.col(c))).alias(f"{c}_{x}")
+    rows = own.groupBy("label").agg(one(True, "n"), one(False, "n"), one(True, "registers"), one(False, "registers"))
 
     def run(batches):
         for batch in batches:
@@ -213,7 +216,7 @@ def _links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     group's largest component are then compared with all classes of the group: links inside a component change nothing.
     So a group costs its size times one part, and its outsiders times its size.
     """
-    sized = written(groups.join(sets.select("node", "n"), "node"), "sized")
+    sized = written(sets.select("node", "n").join(send_small(groups), "node"), "sized")
     parts = _parts(sized, "label")
     dealt = _dealt(sized, parts, "label", "part")
     own = dealt.select("node", "label", "part", F.lit(0).alias("side"))
@@ -255,19 +258,20 @@ def _labelled(docs: DataFrame, words: int, percent: int, sketch: Sketch, id_col:
     short = F.xxhash64("node")  # stands for the class in the bands; a clash of two adds candidates
     band = classes.select(short.alias("s"), F.explode(F.transform(at, lambda i: F.xxhash64(i, F.expr("registers").substr(i * width + 1, F.lit(width))))).alias("band"))
     lead = band.groupBy("band").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a <> z").select("band", "a")
-    stars = band.join(written(lead, "lead"), "band").where("s <> a").select("a", F.col("s").alias("b"))
+    stars = band.join(send_small(written(lead, "lead")), "band").where("s <> a").select("a", F.col("s").alias("b"))
     groups = components(stars).select(F.col("node").alias("s"), "label")
-    groups = written(groups.join(classes.select(short.alias("s"), "node"), "s").select("label", "node"), "groups")
+    names = classes.select(short.alias("s"), "node").join(send_small(written(groups, "stars")), "s")
+    groups = written(names.select("label", "node"), "groups")
     low = written(_unlikely_pairs(groups, classes, sketch, percent, margin), "unlikely")
-    groups = written(groups.join(low, "label", "left_anti"), "likely")
-    wanted = written(groups.join(classes, "node").select("node", "_id", "n"), "wanted")
+    groups = written(groups.join(send_small(low), "label", "left_anti"), "likely")
+    wanted = written(classes.select("node", "_id", "n").join(send_small(groups.select("node")), "node"), "wanted")
     sets = written(_sets_of(wanted, docs, words, id_col, text_col).dropDuplicates(["node"]), "sets")
     links = written(_links(sets, groups, percent), "links")
     rows = signed.select("_id", "n", "digest")
     if not links.take(1):
         return rows.withColumn("label", F.col("digest"))
     of = components(links).select(F.col("node").alias("digest"), "label")
-    return rows.join(written(of, "of"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    return rows.join(send_small(written(of, "of")), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
 def near_duplicates(
