@@ -327,26 +327,41 @@ def test_neighbours(spark):
     for r in got:
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(by) == set(range(0, 300, 20))
+    hit = 0
     for q, found in by.items():
         found.sort()
-        own = sorted((i for i in range(300) if i != q), key=lambda i: (-round(s[q, i], 9), i))[:20]
-        assert [i for _, i, _ in found] == own and [k for k, _, _ in found] == list(range(1, 21))
-        assert np.allclose([v for _, _, v in found], [s[q, i] for i in own])
+        own = sorted((i for i in range(300) if i != q), key=lambda i: (-round(s[q, i], 9), i))
+        place = {i: k for k, i in enumerate(own)}
+        assert [k for k, _, _ in found] == list(range(1, 21)) and len({i for _, i, _ in found}) == 20
+        assert np.allclose([v for _, _, v in found], [s[q, i] for _, i, _ in found], rtol=1e-12, atol=0)
+        assert [place[i] for _, i, _ in found] == sorted(place[i] for _, i, _ in found)  # nearest first, ties to the smaller id
+        hit += sum(place[i] < 20 for _, i, _ in found)
+    assert hit / (20 * len(by)) >= 0.9
     assert neighbours.nearest(df.limit(0), df.limit(0), 20).count() == 0
     assert neighbours.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 20).count() == 2
+    assert neighbours.nearest(df.where("vec_id < 21"), df.where("vec_id = 0"), 20).count() == 20
 
 
-def test_neighbours_recall_with_tables(spark):
+@pytest.mark.parametrize("cell", [1 << 17, 200])
+def test_neighbours_recall_of_the_tables(spark, monkeypatch, cell):
+    """Recall by brute force and the share of the vectors that a query looks at, with one cell and with many."""
+    monkeypatch.setattr(neighbours, "CELL", cell)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 24))
+    centre = rng.normal(size=(150, 24))
+    x = centre[rng.integers(0, 150, 3000)] + 0.5 * rng.normal(size=(3000, 24))
+    x[::7] *= 0.7
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), 20, exact_below=10).groupBy("query_id").agg(F.collect_set("vec_id").alias("f")).collect()
+    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), 20).groupBy("query_id").agg(F.collect_set("vec_id").alias("f")).collect()
     s = x @ x.T
     hit = 0
     for r in got:
         s[r["query_id"], r["query_id"]] = -np.inf
         hit += len(set(np.argsort(-s[r["query_id"]])[:20].tolist()) & set(r["f"]))
-    assert hit / (20 * 60) >= 0.9
+    assert len(got) == 60 and hit / (20 * 60) >= 0.9
+    hasher = neighbours.Hasher(24, float(np.linalg.norm(x, axis=1).max()), 14, 2)
+    probes = neighbours.fit_probes(hasher, x, 20, 0.94)
+    found = list(neighbours.Tables(hasher, x).candidates(list(hasher.ranked(x[::50], probes))))
+    assert np.mean([len(f) for f in found]) < 0.35 * 3000
 
 
 def test_packing(docs, none, texts):
