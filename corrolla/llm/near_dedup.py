@@ -17,7 +17,7 @@ from corrolla.llm.shingles import mix, set_digest, shingles_of_texts, words_of_t
 #: Documents that a worker sketches at a time.
 SLICE = 256
 #: Classes, and shingles of all of them, that one side of a block holds.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 400_000
 
 
 @dataclass(frozen=True)
