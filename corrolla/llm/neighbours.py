@@ -73,20 +73,31 @@ class Hasher:
                 out[:, t] = out[:, t] * (2 * self.dim) + y.argmax(axis=1)
         return out
 
-    def ranked(self, x: np.ndarray, n: int):
-        """For each table, the n most promising buckets of each query (rows, n), best first: by the sum of the coordinates at
-        their axes, of which the best n sums so far are enough."""
+    def ranked(self, x: np.ndarray, n: int, ordered: bool = True):
+        """For each table, the n most promising buckets of each query (rows, n), best first if ordered: by the sum of the
+        coordinates at their axes. Of two sorted lists only places i and j with (i + 1) (j + 1) <= n can be among the n best
+        sums, so the axes are joined one after the other over those places."""
         for own in self.rotated(x, True):
             best, score = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
             for y in own:
-                m = min(n, y.shape[1])
-                keep = np.argpartition(-y, m - 1, axis=1)[:, :m]
-                best = (best[:, :, None] * (2 * self.dim) + keep[:, None, :]).reshape(len(x), -1)
-                score = (score[:, :, None] + np.take_along_axis(y, keep, 1)[:, None, :]).reshape(len(x), -1)
+                axis = np.argsort(-y, axis=1, kind="stable")[:, :n]
+                along = np.take_along_axis(y, axis, 1)
+                i, j = _corner(best.shape[1], axis.shape[1], n)
+                best, score = best[:, i] * (2 * self.dim) + axis[:, j], score[:, i] + along[:, j]
                 if best.shape[1] > n:
                     keep = np.argpartition(-score, n - 1, axis=1)[:, :n]
                     best, score = np.take_along_axis(best, keep, 1), np.take_along_axis(score, keep, 1)
-            yield np.take_along_axis(best, np.argsort(-score, axis=1, kind="stable"), 1)
+                if ordered or y is not own[-1]:
+                    keep = np.argsort(-score, axis=1, kind="stable")
+                    best, score = np.take_along_axis(best, keep, 1), np.take_along_axis(score, keep, 1)
+            yield best
+
+
+def _corner(a: int, b: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < a and j < b of two lists with (i + 1) (j + 1) <= n."""
+    width = np.minimum(b, n // np.arange(1, a + 1))
+    i = np.repeat(np.arange(a), width)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)
 
 
 def fit_probes(hasher: Hasher, sample: np.ndarray, k: int, recall: float, queries: int = 128) -> int:
@@ -120,18 +131,20 @@ class Tables:
             self.buckets.append(own[order])
 
     def candidates(self, probes: list[np.ndarray]):
-        """For each query, given each table's probes (queries, n), the rows in the buckets probed, each once."""
-        low = [np.searchsorted(b, p) for b, p in zip(self.buckets, probes)]
-        high = [np.searchsorted(b, p, side="right") for b, p in zip(self.buckets, probes)]
-        for i in range(len(probes[0])):
-            found = []
-            for order, a, b in zip(self.order, low, high):
-                n = b[i] - a[i]
-                full = np.flatnonzero(n)
-                ends = np.cumsum(n[full])
-                if len(ends):
-                    found.append(order[np.arange(ends[-1]) + np.repeat(a[i][full] - ends + n[full], n[full])])
-            yield np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        """For each query, given each table's probes (queries, n), the rows in the buckets probed, each once, in order."""
+        hit = np.zeros((len(probes[0]), len(self.order[0])), dtype=bool)
+        for order, buckets, p in zip(self.order, self.buckets, probes):
+            own, start = np.unique(buckets, return_index=True)
+            place = np.searchsorted(own, p)
+            place[place == len(own)] = 0
+            who, which = np.nonzero(own[place] == p)
+            low = start[place[who, which]]
+            n = np.r_[start[1:], len(buckets)][place[who, which]] - low
+            ends = np.cumsum(n)
+            if len(ends):
+                hit[np.repeat(who, n), order[np.arange(ends[-1]) + np.repeat(low - ends + n, n)]] = True
+        for row in hit:
+            yield np.flatnonzero(row)
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -260,7 +273,7 @@ def nearest(
                     built = Tables(hasher, x)
                 for c in range(0, len(v), 256):
                     part = v[c : c + 256]
-                    for who, near in enumerate(built.candidates(list(hasher.ranked(part, probes)))):
+                    for who, near in enumerate(built.candidates(list(hasher.ranked(part, probes, ordered=False)))):
                         if len(near) <= k:  # too few to choose from: the whole chunk
                             near = np.arange(len(x))
                         scores = (x[near] * part[who]).sum(axis=1)
