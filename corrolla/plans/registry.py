@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corrolla.functions import series as S
 from corrolla.operators import correlation as C, events as E, panel as P, signals as G
 from corrolla.sources import tables as T
+from corrolla.sources.shared import settled
 
 W = 30
 _QUERIES: dict = {}
@@ -23,7 +24,7 @@ slid AS (SELECT a.rn, a.date, a.symbol AS u, b.symbol AS v, a.whole AND b.whole
   corr(a.ret, b.ret) OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.rn ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW) AS c
   FROM whole a JOIN whole b ON a.rn = b.rn AND a.symbol < b.symbol),
 pairs AS (SELECT rn, date, u, v, round(CASE WHEN NOT isnan(c) THEN c END, 12) AS r FROM slid WHERE whole),
-edges AS (SELECT *, abs(r) AS w, CAST(sign(r) AS INT) AS s FROM pairs WHERE abs(r) >= 0.3)"""
+edges AS MATERIALIZED (SELECT *, abs(r) AS w, CAST(sign(r) AS INT) AS s FROM pairs WHERE abs(r) >= 0.3)"""
 IND = RET + """, ind AS (SELECT 'PX' AS panel, rn, date, avg(pad) AS price, stddev_samp(ret) AS l1, CAST(count(*) FILTER (ret < 0) AS DOUBLE) AS unb
   FROM ret GROUP BY rn, date)"""
 
@@ -47,6 +48,10 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def query_of(name: str):
+    return _QUERIES[name]
+
+
 def r(c, n: int = 6):
     """Rounded, and without a negative zero, so that engines which add in another order agree."""
     c = F.col(c) if isinstance(c, str) else c
@@ -54,7 +59,7 @@ def r(c, n: int = 6):
 
 
 def _rets(spark, d) -> DataFrame:
-    return P.returns(T.brand_panel(spark, d))
+    return settled(P.returns(T.brand_panel(spark, d)), "returns")
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -117,9 +122,8 @@ def _(spark, d):
 
 @query("dedupe_keep_last", "SELECT user_id, event_type, event_id, round(value, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def _(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = T.table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k = 1")
-    return e.select("user_id", "event_type", "event_id", r("value").alias("value"))
+    e = T.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("m"))
+    return e.select("user_id", "event_type", "m.event_id", r("m.value").alias("value"))
 
 
 @query("upsert_latest", "SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -183,9 +187,9 @@ def _(spark, d):
     return C.census(C.signed_edges(_pairs(spark, d)))
 
 
-@query("mantegna_distance", f"WITH {PAIRS} SELECT rn, u, v, round(sqrt(greatest(0.0, 2 * (1 - coalesce(r, 0)))), 6) AS dist FROM pairs WHERE rn % 50 = 0")
+@query("mantegna_distance", f"WITH {PAIRS} SELECT rn, u, v, round(sqrt(greatest(0.0, 2 * (1 - coalesce(r, 0)))), 6) AS dist FROM pairs")
 def _(spark, d):
-    return _pairs(spark, d).where("rn % 50 = 0").select("rn", "u", "v", r(C.distance(F.col("r"))).alias("dist"))
+    return _pairs(spark, d).select("rn", "u", "v", r(C.distance(F.col("r"))).alias("dist"))
 
 
 @query("threshold_sweep_edges", f"WITH {PAIRS}, t AS (SELECT unnest(range(2, 19)) AS k) SELECT rn, k, count(*) AS n_edges FROM pairs JOIN t ON abs(r) >= k / 20.0 GROUP BY rn, k")
@@ -230,9 +234,9 @@ def _(spark, d):
     return out.agg(r(F.expr("sum(s) / sum(k)")).alias("mean_abs_r"), F.sum("n").alias("n"))
 
 
-@query("symbol_set_diff", f"WITH {PX} SELECT DISTINCT p_brand AS symbol FROM part WHERE p_size > 25 EXCEPT SELECT symbol FROM px WHERE close > 40000")
+@query("symbol_set_diff", f"WITH {PX} SELECT DISTINCT p_brand AS symbol FROM part WHERE p_size > 25 EXCEPT SELECT symbol FROM px WHERE close > 90000")
 def _(spark, d):
-    big = T.brand_panel(spark, d).where("close > 40000").select("symbol")
+    big = T.brand_panel(spark, d).where("close > 90000").select("symbol")
     return T.table(spark, d, "part").where("p_size > 25").select(F.col("p_brand").alias("symbol")).distinct().join(big, "symbol", "left_anti")
 
 
@@ -324,10 +328,10 @@ def _(spark, d):
     return _ind(spark, d).agg(p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"), r(F.avg("l1")).alias("mean"), r(F.stddev_samp("l1")).alias("sd"), r(F.stddev_pop("l1")).alias("sd0"))
 
 
-@query("smoothed_5", f"WITH {IND} SELECT rn, round(avg(l1) OVER (ORDER BY rn ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 6) AS s, round(price / first_value(price) OVER (ORDER BY rn) * 100, 4) AS rebased FROM ind")
+@query("smoothed_5", f"WITH {IND} SELECT rn, round(avg(l1) OVER (ORDER BY rn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS s, round(price / first_value(price) OVER (ORDER BY rn) * 100, 4) AS rebased FROM ind")
 def _(spark, d):
     w = S.series("panel")
-    return _ind(spark, d).select("rn", r(F.avg("l1").over(S.trailing(w, 21))).alias("s"), r(S.rebased(F.col("price"), w), 4).alias("rebased"))
+    return _ind(spark, d).select("rn", r(F.avg("l1").over(S.trailing(w, 5))).alias("s"), r(S.rebased(F.col("price"), w), 4).alias("rebased"))
 
 
 @query("universe_cross_corr", f"WITH {IND}, m AS (SELECT date_trunc('month', date) AS mo, avg(price) AS p FROM ind GROUP BY 1), o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS mo, avg(o_totalprice) AS q FROM orders GROUP BY 1) SELECT count(*) AS n, round(corr(p, q), 6) AS c FROM m JOIN o ON CAST(m.mo AS DATE) = o.mo")
@@ -348,7 +352,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from corrolla.plans import studies, topology  # noqa: F401  they add their own
+    from corrolla.plans import basics, indicators, studies, topology  # noqa: F401  they add their own
 
     return dict(_QUERIES)
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from corrolla.sources.shared import settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def brand_panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    """(symbol, date, close): mean extended price of each brand and week or month."""
+def brand_panel(spark: SparkSession, sf_dir: str, unit: str = "week", hours: int = 0) -> DataFrame:
+    """(symbol, date, close): mean extended price of each brand and week or month, settled: lineitem is read once. Days may
+    begin some hours later."""
     items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.col("p_brand").alias("symbol"), F.date_trunc(unit, "l_shipdate").cast("date").alias("date")).agg(F.avg("l_extendedprice").alias("close"))
+    day = F.col("l_shipdate") - F.make_dt_interval(hours=F.lit(hours)) if hours else F.col("l_shipdate")
+    by = rows.groupBy(F.col("p_brand").alias("symbol"), F.date_trunc(unit, day).cast("date").alias("date"))
+    return settled(by.agg(F.avg("l_extendedprice").alias("close")), "panel")
 
 
 def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +84,26 @@ def latest_by_key(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return best.select(*keys, "_m.*").select(rows.columns)
 
 
+def lookup(rows: DataFrame, dimension: DataFrame, key: str, value: str, default: str) -> DataFrame:
+    """rows with the value that a dimension (one row a key) has for their key, or the default."""
+    return rows.join(dimension.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def joined_outer(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All keys of either side, once, with the columns of both."""
+    return left.join(right, key, "full_outer")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents, one or more lines each, with a declared schema; members that don't fit it become null."""
+    return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE")
+
+
+def enough_rows(counts: DataFrame, least: int = 50) -> DataFrame:
+    """symbols with enough observations (symbol, n_obs) to be taken."""
+    return counts.where(F.col("n_obs") >= least)
+
+
 def newest(rows: DataFrame, by: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc(by)).limit(n)
 
