@@ -84,45 +84,69 @@ def bar_summary(bars: list[tuple[float, float]]) -> dict:
     }
 
 
-def cycle_basis(nodes: list, near: dict) -> list[list]:
-    """A fundamental set of cycles: from the last node of each component, a depth-first stack over neighbours in order;
-    an edge to a node already reached closes a cycle with the paths to where they meet."""
-    left, out = dict.fromkeys(nodes), []
-    while left:
-        start = next(reversed(left))
-        above, reached, stack = {start: start}, {start: set()}, [start]
-        while stack:
-            z = stack.pop()
-            for x in near[z]:
-                if x not in reached:
-                    above[x], reached[x] = z, {z}
-                    stack.append(x)
-                elif x not in reached[z]:
-                    cycle, up = [x, z], above[z]
-                    while up not in reached[x]:
-                        cycle.append(up)
-                        up = above[up]
-                    out.append([*cycle, up])
-                    reached[x].add(z)
-        for x in above:
-            left.pop(x, None)
+def spanning_tree(near: list[list[int]]) -> tuple[list[int], list[int]]:
+    """Parent and depth of every node in a spanning forest: each component is a tree from its first node, grown breadth
+    first over neighbours in order; a root is its own parent. So cycles are short."""
+    parent, depth = [-1] * len(near), [0] * len(near)
+    for root in range(len(near)):
+        if parent[root] < 0:
+            parent[root], level = root, [root]
+            while level:
+                after = []
+                for x in level:
+                    for y in near[x]:
+                        if parent[y] < 0:
+                            parent[y], depth[y] = x, depth[x] + 1
+                            after.append(y)
+                level = after
+    return parent, depth
+
+
+def cycle_basis(near: list[list[int]]) -> list[list[int]]:
+    """The fundamental cycles of the spanning forest: each edge outside it, in order of its ends, closes the two paths up
+    to where they meet. This basis is this library's own: another forest gives other cycles, as many, with the same span."""
+    parent, depth = spanning_tree(near)
+    out = []
+    for u in range(len(near)):
+        for v in near[u]:
+            if u < v and parent[v] != u and parent[u] != v:
+                left, right = [u], [v]
+                while left[-1] != right[-1]:
+                    if depth[left[-1]] >= depth[right[-1]]:
+                        left.append(parent[left[-1]])
+                    else:
+                        right.append(parent[right[-1]])
+                out.append(left + right[-2::-1])
     return out
 
 
-def cycle_balance(cycles: list[list], r: dict, most: int = 1500) -> dict:
-    """Cycles by the sign of their product, by length, and the summed strength of the unbalanced ones."""
-    edge = lambda c: [r[tuple(sorted(e))] for e in zip(c, [*c[1:], c[0]])]
-    n = bad = 0
-    by, weight, odd = {3: 0, 4: 0, 5: 0}, 0.0, 0
-    for c in cycles[:most]:
-        v = np.array(edge(c))
-        n += 1
-        odd += int(np.minimum(1, np.floor((v + 1) / 2 * 2)).sum() % 2 != 0)
-        if np.sign(v).prod() < 0:
-            bad += 1
+#: Fixed values. Cycles that the balance and the decomposition by length look at, at most; examples listed.
+BALANCE_CYCLES, LENGTH_CYCLES, EXAMPLES = 1000, 1500, 5
+
+
+def cycle_labels(cycles: list[list[int]], r: np.ndarray, k: int) -> int:
+    """Cycles whose edges' labels, the correlation's place among k equal parts of [-1, 1], do not add up to 0 modulo k."""
+    odd = 0
+    for c in cycles:
+        v = r[c, [*c[1:], c[0]]]
+        odd += int(np.minimum(k - 1, np.floor((v + 1) / 2 * k)).sum()) % k != 0
+    return odd
+
+
+def cycle_balance(cycles: list[list[int]], r: np.ndarray) -> dict:
+    """Cycles by the sign of their product (n_unb, balance_rate: of the first BALANCE_CYCLES; a zero counts as unbalanced),
+    by length (of the first LENGTH_CYCLES; a zero counts as balanced), and the summed strength of the unbalanced ones."""
+    by, weight, bad = {3: 0, 4: 0, 5: 0}, 0.0, 0
+    products = [float(np.prod(r[c, [*c[1:], c[0]]])) for c in cycles[:LENGTH_CYCLES]]
+    first = products[:BALANCE_CYCLES]
+    bad = sum(p <= 0 for p in first)
+    for c, p in zip(cycles, products):
+        if p < 0:
             by[min(len(c), 5)] += 1
-            weight += float(np.abs(v).prod())
-    return {"n_cycles": n, "n_unb": bad, "unb_3": by[3], "unb_4": by[4], "unb_5plus": by[5], "weighted_unb": weight, "balance_rate": 1.0 if not n else (n - bad) / n, "unb_mod2": odd}
+            weight -= p
+    rate = (len(first) - bad) / len(first) if first else 1.0
+    odd = cycle_labels(cycles[:LENGTH_CYCLES], r, 2)
+    return {"n_cycles": len(cycles), "n_unb": bad, "unb_3": by[3], "unb_4": by[4], "unb_5plus": by[5], "weighted_unb": weight, "balance_rate": rate, "unb_mod2": odd}
 
 
 # ---- graph invariants on a weight matrix (0 where there is no edge)
@@ -189,9 +213,10 @@ def spanning_forest(w: np.ndarray, d: np.ndarray) -> tuple[float, int]:
     return total, used
 
 
-def maximal_cliques(near: list[set[int]], most: int = 100_000) -> int:
+def maximal_cliques(near: list[set[int]]) -> int:
+    """All of them; their number may grow exponentially with the nodes, which are a window's symbols."""
     count, stack = 0, [(set(range(len(near))), set())]
-    while stack and count < most:
+    while stack:
         p, x = stack.pop()
         if not p:
             count += not x
@@ -264,22 +289,31 @@ def removal_impact(w: np.ndarray) -> np.ndarray:
 
 
 FIELDS = {
-    "n_symbols": "int", "n_edges": "int", "h0_bars": "int", "n_bars": "int", "l1": "double", "l2": "double", "linf": "double", "mean": "double",
+    "n_symbols": "int", "n_edges": "int", "density": "double", "h0_bars": "int", "n_bars": "int", "l1": "double", "l2": "double", "linf": "double", "mean": "double",
     "entropy": "double", "n_cycles": "int", "n_unb": "int", "unb_3": "int", "unb_4": "int", "unb_5plus": "int", "weighted_unb": "double",
     "balance_rate": "double", "unb_mod2": "int", "betti0": "int", "betti1": "int", "max_core": "int", "gap": "double", "clustering": "double",
-    "forest": "double", "tree_length": "double", "n_cliques": "int", "n_communities": "int", "walk_balance": "double", "frustration": "int",
-    "max_removal": "double", "centrality_max": "double",
+    "forest": "double", "tree_length": "double", "tree_edges": "int", "n_cliques": "int", "n_communities": "int", "walk_balance": "double",
+    "frustration": "int",
 }
-PARTS = {"topology", "cycles", "graph", "heavy"}
+#: What can be asked for beside the counts of symbols, edges and components.
+PARTS = {"topology", "cycles", "density", "cores", "gap", "clustering", "forest", "communities", "walks", "frustration", "cliques"}
+#: The graph's invariants, as one bundle.
+BUNDLE = frozenset(PARTS - {"topology", "cycles", "walks", "frustration"})
 
 
-def _window(pdf: pd.DataFrame, threshold: float, parts: frozenset[str], least: int) -> dict:
+def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """The symbols of a window's pairs in order, and their correlations; missing ones and the diagonal are NaN."""
     names = sorted({*pdf["u"], *pdf["v"]})
     at = {s: i for i, s in enumerate(names)}
-    n = len(names)
-    r = np.full((n, n), np.nan)
+    r = np.full((len(names), len(names)), np.nan)
     i, j = pdf["u"].map(at).to_numpy(), pdf["v"].map(at).to_numpy()
     r[i, j] = r[j, i] = pdf["r"].to_numpy(float)
+    return names, r
+
+
+def _window(pdf: pd.DataFrame, threshold: float, parts: frozenset[str], least: int) -> dict:
+    names, r = _matrix(pdf)
+    n = len(names)
     out: dict = {"n_symbols": n}
     if n < least:
         return out | {"n_edges": 0}
@@ -294,27 +328,34 @@ def _window(pdf: pd.DataFrame, threshold: float, parts: frozenset[str], least: i
         h0, h1 = barcode(distances(r))
         out |= bar_summary(h1) | {"h0_bars": len(h0)}
     if "cycles" in parts:
-        pairs = {(a, b): signed[a, b] for a in range(n) for b in near[a] if a < b}
-        out |= cycle_balance(cycle_basis(list(range(n)), {k: sorted(v) for k, v in enumerate(near)}), pairs)
-    if "graph" in parts:
-        total, _ = spanning_forest(w, distances(r))
-        vector = np.abs(np.linalg.eigh(w)[1][:, -1]) if w.any() else np.zeros(n)
-        out |= {
-            "max_core": max(cores(near), default=0),
-            "gap": spectral_gap(w),
-            "clustering": clustering(w),
-            "forest": total,
-            "tree_length": total / (n - 1) if n > 1 else 0.0,
-            "n_communities": communities(w),
-            "walk_balance": walk_balance(signed),
-            "frustration": frustration(np.sign(signed)),
-            "centrality_max": float(vector.max(initial=0.0)),
-        }
-    if "heavy" in parts:
-        out |= {"n_cliques": maximal_cliques(near), "max_removal": float(removal_impact(w).max(initial=0.0))}
+        out |= cycle_balance(cycle_basis([sorted(x) for x in near]), signed)
+    if "density" in parts:
+        out["density"] = 2 * out["n_edges"] / (n * (n - 1)) if n > 1 else 0.0
+    if "cores" in parts:
+        out["max_core"] = max(cores(near), default=0)
+    if "gap" in parts:
+        out["gap"] = spectral_gap(w)
+    if "clustering" in parts:
+        out["clustering"] = clustering(w)
+    if "forest" in parts:
+        total, used = spanning_forest(w, distances(r))
+        out |= {"forest": total, "tree_length": total / (n - 1) if n > 1 else 0.0, "tree_edges": used}
+    if "communities" in parts:
+        out["n_communities"] = communities(w)
+    if "walks" in parts:
+        out["walk_balance"] = walk_balance(signed)
+    if "frustration" in parts:
+        out["frustration"] = frustration(np.sign(signed))
+    if "cliques" in parts:
+        out["n_cliques"] = maximal_cliques(near)
     return out
 
 
+def centrality(w: np.ndarray) -> np.ndarray:
+    """The leading eigenvector, by magnitude; zeros without edges."""
+    return np.abs(np.linalg.eigh(w)[1][:, -1]) if w.any() else np.zeros(len(w))
+
+
 def window_invariants(pairs: DataFrame, keys: list[str], parts=frozenset({"topology", "cycles"}), threshold: float = 0.3, least: int = 5) -> DataFrame:
     """keys and FIELDS for each window of pairs (u, v, r), one group each: at most some thousand rows. Fields of parts
     not asked for, and of windows with fewer than `least` symbols, are null."""
@@ -335,18 +376,82 @@ def barcodes(pairs: DataFrame, keys: list[str], far: float = FAR) -> DataFrame:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*pdf["u"], *pdf["v"]})
-        at = {s: i for i, s in enumerate(names)}
-        r = np.full((len(names), len(names)), np.nan)
-        i, j = pdf["u"].map(at).to_numpy(), pdf["v"].map(at).to_numpy()
-        r[i, j] = r[j, i] = pdf["r"].to_numpy(float)
-        bars = barcode(distances(r), far)
+        bars = barcode(distances(_matrix(pdf)[1]), far)
         rows = [(dim, a, b) for dim in (0, 1) for a, b in bars[dim]]
         return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"dim": x, "birth": a, "death": b} for x, a, b in rows], columns=[*keys, "dim", "birth", "death"])
 
     return pairs.select(*keys, "u", "v", "r").groupBy(*keys).applyInPandas(run, kinds + ", dim int, birth double, death double")
 
 
+def betti_sweep(pairs: DataFrame, keys: list[str], thresholds: list[float], signed: bool = False) -> DataFrame:
+    """keys, threshold, betti0, betti1 for each window and threshold, in one pass: edges are pairs whose correlation (its
+    size, unless signed) is at the threshold or above."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, r = _matrix(pdf)
+        strength = np.nan_to_num(r if signed else np.abs(r), nan=-np.inf)
+        rows = []
+        for t in thresholds:
+            strong = strength >= t
+            parts = n_components([set(np.flatnonzero(x).tolist()) for x in strong])
+            rows.append({k: pdf[k].iloc[0] for k in keys} | {"threshold": t, "betti0": parts, "betti1": max(0, int(strong.sum() // 2) - len(names) + parts)})
+        return pd.DataFrame(rows, columns=[*keys, "threshold", "betti0", "betti1"])
+
+    return pairs.select(*keys, "u", "v", "r").groupBy(*keys).applyInPandas(run, f"{kinds}, threshold double, betti0 int, betti1 int")
+
+
+def sweep_summary(sweep: DataFrame, keys: list[str]) -> DataFrame:
+    """The least threshold with one component (null if none has), the most cycles and the first threshold that has them."""
+    one = F.min(F.when(F.col("betti0") == 1, F.col("threshold"))).alias("one_component")
+    peak = F.max(F.struct("betti1", (-F.col("threshold")).alias("t"))).alias("m")
+    return sweep.groupBy(*keys).agg(one, peak).select(*keys, "one_component", F.col("m.betti1").alias("max_betti1"), (-F.col("m.t")).alias("at_threshold"))
+
+
+def node_invariants(pairs: DataFrame, keys: list[str], parts=frozenset({"core", "centrality", "removal"}), threshold: float = 0.3, least: int = 5) -> DataFrame:
+    """keys, symbol and, as asked, core number, eigenvector centrality and the impact of the node's removal, for each window
+    of at least `least` symbols."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, r = _matrix(pdf)
+        w = np.where(np.abs(np.nan_to_num(r)) >= threshold, np.abs(np.nan_to_num(r)), 0.0)
+        columns: dict = {k: pdf[k].iloc[0] for k in keys} | {"symbol": names if len(names) >= least else []}
+        columns["core"] = cores([set(np.flatnonzero(x).tolist()) for x in w]) if "core" in parts else None
+        columns["centrality"] = centrality(w) if "centrality" in parts else None
+        columns["removal"] = removal_impact(w) if "removal" in parts else None
+        if len(names) < least:
+            return pd.DataFrame([], columns=[*keys, "symbol", "core", "centrality", "removal"])
+        return pd.DataFrame(columns, columns=[*keys, "symbol", "core", "centrality", "removal"])
+
+    return pairs.select(*keys, "u", "v", "r").groupBy(*keys).applyInPandas(run, f"{kinds}, symbol string, core int, centrality double, removal double")
+
+
+def cycle_label_counts(pairs: DataFrame, keys: list[str], ks: list[int], threshold: float = 0.3) -> DataFrame:
+    """keys, k, n_cycles and n_odd (see cycle_labels) for each window and each number of labels."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.nan_to_num(_matrix(pdf)[1])
+        cycles = cycle_basis([np.flatnonzero(x).tolist() for x in np.abs(r) >= threshold])[:LENGTH_CYCLES]
+        rows = [{k: pdf[k].iloc[0] for k in keys} | {"k": k, "n_cycles": len(cycles), "n_odd": cycle_labels(cycles, r, k)} for k in ks]
+        return pd.DataFrame(rows, columns=[*keys, "k", "n_cycles", "n_odd"])
+
+    return pairs.select(*keys, "u", "v", "r").groupBy(*keys).applyInPandas(run, f"{kinds}, k int, n_cycles int, n_odd int")
+
+
+def gamma_series(rets: DataFrame, pairs: DataFrame, n: int, parts=frozenset({"topology", "cycles"}), include_last: bool = False, least: int = 5) -> DataFrame:
+    """A row (rn, date and FIELDS) for every window of n rows that the series has, labelled by its last row: with fewer
+    than `least` whole symbols there are no edges and the other fields are null. The newest row ends no window unless
+    include_last. rets and pairs should be settled."""
+    from corrolla.operators.panel import complete_windows, window_ends
+
+    whole = complete_windows(rets, n).where("whole").groupBy("rn").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    found = window_invariants(pairs, ["rn"], parts, least=least)
+    out = window_ends(rets, n, include_last).join(F.broadcast(whole), "rn", "left").join(found, "rn", "left")
+    return out.withColumn("n_symbols", F.coalesce("_n", F.lit(0))).withColumn("n_edges", F.coalesce("n_edges", F.lit(0))).drop("_n")
+
+
 def scenarios(pairs: DataFrame, symbols: DataFrame, excluded: DataFrame) -> DataFrame:
     """Pairs of each scenario: all those without a symbol that it excludes (scenario, symbol). A pair's correlation does
     not depend on the universe, so nothing is computed again."""

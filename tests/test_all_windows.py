@@ -5,7 +5,7 @@ import pytest
 from corrolla.plans.registry import _pairs, queries
 
 D = "/root/testdata/sf0.001"
-BY_WINDOW = "h1_barcode truncation_audit betti_sweep k_core spectral_gap mst_ntl clustering_weighted communities walk_balance frustration eigenvector_centrality max_cliques removal_impact".split()
+BY_WINDOW = "h1_barcode truncation_audit betti_sweep k_core spectral_gap mst_ntl clustering_weighted communities walk_balance frustration eigenvector_centrality max_cliques removal_impact invariant_bundle core_numbers betti_series".split()
 
 
 @pytest.fixture(scope="module")
