@@ -35,8 +35,30 @@ def f_tail(f: float, d1: int, d2: int) -> float:
     return float(incomplete_beta(d2 / 2, d1 / 2, float(d2 / (d2 + d1 * f)))) if f > 0 else 1.0
 
 
+def chi2_tail(x: float, k: int) -> float:
+    """Probability that a chi-squared variable of k degrees exceeds x, by the recurrence from one or two degrees."""
+    if x <= 0:
+        return 1.0
+    h = x / 2
+    tail, term = (math.exp(-h), math.exp(-h)) if k % 2 == 0 else (math.erfc(math.sqrt(h)), 2 * math.sqrt(h / math.pi) * math.exp(-h))
+    if k % 2 == 0:
+        for i in range(1, k // 2):
+            term *= h / i
+            tail += term
+    else:
+        for i in range(1, (k + 1) // 2):
+            tail += term
+            term *= h / (i + 0.5)
+    return min(1.0, tail)
+
+
+def t_tail(t: float, free: int) -> float:
+    """Two-sided tail of a t statistic."""
+    return incomplete_beta(free / 2, 0.5, free / (free + t * t)) if free > 0 else 1.0
+
+
 def granger(rows: DataFrame, cause: str, effect: str, lags: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """(lag, n, f, p) for each lag: whether the cause's past adds to the effect's own. Spark sums the products of lagged
+    """(lag, n, f, p, chi2, p_chi2) for each lag: whether the cause's past adds to the effect's own. Spark sums the products of lagged
     columns; only their (2 lag + 1)-square matrices reach the driver."""
     from corrolla.functions.series import series
 
@@ -59,8 +81,28 @@ def granger(rows: DataFrame, cause: str, effect: str, lags: tuple[int, ...] = (1
         full, own = rss(list(range(2 * k + 1))), rss(list(range(k + 1)))
         free = n - 2 * k - 1
         f = max(0.0, (own - full) / k / (full / free)) if free > 0 and full > 0 else 0.0
-        out.append((k, n, float(f), f_tail(f, k, free) if free > 0 else 1.0))
-    return spark.createDataFrame(out, "lag int, n long, f double, p double")
+        chi2 = max(0.0, n * (own - full) / full) if full > 0 else 0.0
+        out.append((k, n, float(f), f_tail(f, k, free) if free > 0 else 1.0, float(chi2), chi2_tail(float(chi2), k)))
+    return spark.createDataFrame(out, "lag int, n long, f double, p double, chi2 double, p_chi2 double")
+
+
+def granger_verdict(forward: DataFrame, backward: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The least p over the lags each way, uncorrected, and which way they point."""
+    out = forward.agg(F.min("p").alias("p_forward")).crossJoin(F.broadcast(backward.agg(F.min("p").alias("p_backward"))))
+    verdict = F.when(F.expr("p_forward IS NULL OR p_backward IS NULL"), "no data").when(F.expr(f"p_forward < {alpha} AND p_backward >= {alpha}"), "forward")
+    return out.withColumn("verdict", verdict.when(F.expr(f"p_forward < {alpha}"), "both").when(F.expr(f"p_backward < {alpha}"), "backward").otherwise("none"))
+
+
+def jittered(rows: DataFrame, columns: list[str], size: float = 1e-9, seed: int = 42) -> DataFrame:
+    """rows with a little noise on binary columns, so that no correlation matrix is singular."""
+    return rows.withColumns({c: F.col(c) + F.randn(seed + i) * size for i, c in enumerate(columns)})
+
+
+def confounders(edges: DataFrame) -> DataFrame:
+    """(source, x, y): nodes with an arrow to both x and y; edges as pc_graph gives them, few."""
+    out = edges.where("kind = 'directed'")
+    a, b = out.select("source", F.col("target").alias("x")), out.select("source", F.col("target").alias("y"))
+    return a.join(F.broadcast(b), "source").where("x < y")
 
 
 def pc_graph(corr: np.ndarray, n: int, names: list[str], alpha: float = 0.05) -> list[tuple[str, str, str]]:
@@ -129,10 +171,12 @@ def causal_edges(rows: DataFrame, columns: list[str], alpha: float = 0.05) -> Da
 
 
 def permutation_p(rows: DataFrame, events: DataFrame, column: str, by: str, draws: int = 5000, seed: int = 42) -> DataFrame:
-    """(by, n, mean, p_two_sided, p_upper) for each class of events against means of as many rows drawn at random.
+    """(by, n, mean, p_two_sided, p_about_zero, p_upper) for each class of events against means of as many rows drawn at
+    random without replacement: two-sided around the draws' mean, two-sided around 0, and one-sided.
 
-    rows has every row's response, were it an event; its values are one column of one panel and go to each class."""
-    pool = rows.where(F.col(column).isNotNull()).groupBy("panel").agg(F.sort_array(F.collect_list(column)).alias("pool"))  # a panel's length
+    rows has every row's response, were it an event; its values are one column of one panel, a calendar's length, and
+    go to each class."""
+    pool = rows.where(F.col(column).isNotNull()).groupBy("panel").agg(F.sort_array(F.collect_list(column)).alias("pool"))
     own = events.where(F.col(column).isNotNull()).select("panel", by, column)
     kind = events.schema[by].dataType.simpleString()
 
@@ -141,10 +185,40 @@ def permutation_p(rows: DataFrame, events: DataFrame, column: str, by: str, draw
         mean = float(pdf[column].mean())
         rng = np.random.default_rng([seed, n])
         null = np.array([pool[rng.choice(len(pool), min(n, len(pool)), replace=False)].mean() for _ in range(draws)])
-        far = int((np.abs(null - null.mean()) >= abs(mean - null.mean())).sum())
-        return pd.DataFrame([(pdf[by].iloc[0], n, mean, (far + 1) / (draws + 1), ((null >= mean).sum() + 1) / (draws + 1))], columns=[by, "n", "mean", "p_two_sided", "p_upper"])
+        p = lambda hit: (int(hit.sum()) + 1) / (draws + 1)
+        row = (pdf[by].iloc[0], n, mean, p(np.abs(null - null.mean()) >= abs(mean - null.mean())), p(np.abs(null) >= abs(mean)), p(null >= mean))
+        return pd.DataFrame([row], columns=[by, "n", "mean", "p_two_sided", "p_about_zero", "p_upper"])
+
+    return own.join(F.broadcast(pool), "panel").groupBy(by).applyInPandas(run, f"{by} {kind}, n long, mean double, p_two_sided double, p_about_zero double, p_upper double")
 
-    return own.join(F.broadcast(pool), "panel").groupBy(by).applyInPandas(run, f"{by} {kind}, n long, mean double, p_two_sided double, p_upper double")
+
+def mean_inference(rows: DataFrame, events: DataFrame, column: str, by: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """(by, n, mean, t, p_t, low, high, p_month, p_block) for the values of each class of events: a one-sample t test, a
+    bootstrap interval of 90 %, and the share of random placings that reach the mean: each event to any row of its own
+    calendar month, and all events moved by one and the same number of rows, around the end."""
+    pool = rows.where(F.col(column).isNotNull()).groupBy("panel").agg(F.sort_array(F.collect_list(F.struct("rn", F.month("date").alias("m"), F.col(column).alias("v")))).alias("pool"))
+    own = events.where(F.col(column).isNotNull()).select("panel", by, "rn", F.month("date").alias("_m"), column)
+    kind = events.schema[by].dataType.simpleString()
+    names = [by, "n", "mean", "t", "p_t", "low", "high", "p_month", "p_block"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        v, n = pdf[column].to_numpy(float), len(pdf)
+        every = np.array([(x["rn"], x["m"], x["v"]) for x in pdf["pool"].iloc[0]], dtype=float)
+        rng, mean = np.random.default_rng([seed, n]), float(v.mean())
+        sd = float(v.std(ddof=1)) if n > 1 else 0.0
+        t = mean / (sd / math.sqrt(n)) if sd > 0 else 0.0
+        boot = v[rng.integers(0, n, (draws, n))].mean(axis=1)
+        by_month = [every[every[:, 1] == m, 2] for m in pdf["_m"]]
+        month = np.mean([x[rng.integers(0, len(x), draws)] for x in by_month], axis=0)
+        at = np.searchsorted(every[:, 0], pdf["rn"].to_numpy(float))
+        moved = every[(at[None, :] + rng.integers(0, len(every), draws)[:, None]) % len(every), 2].mean(axis=1)
+        p = lambda null: (int((np.abs(null) >= abs(mean)).sum()) + 1) / (draws + 1)
+        low, high = np.percentile(boot, [5, 95])
+        return pd.DataFrame([(pdf[by].iloc[0], n, mean, t, t_tail(t, n - 1) if sd > 0 else 1.0, low, high, p(month), p(moved))], columns=names)
+
+    schema = f"{by} {kind}, n long, mean double, t double, p_t double, low double, high double, p_month double, p_block double"
+    return own.join(F.broadcast(pool), "panel").groupBy(by).applyInPandas(run, schema)
 
 
 def random_blocks(n: int, blocks: int, length: int, rng: np.random.Generator) -> np.ndarray:
@@ -176,3 +250,19 @@ def random_signals(rows: DataFrame, blocks: int, length: int, trials: int, seed:
     spots = each.withColumn("_g", F.col("trial") % 64).groupBy("_g").applyInPandas(lambda p: run(p), "trial long, rn long")
     every = spark.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(rows))
     return every.join(spots.withColumn("on", F.lit(True)), ["trial", "rn"], "left").fillna(False, ["on"])
+
+
+def random_folds(folds: DataFrame, trials: int, seed: int = 42) -> DataFrame:
+    """(trial, fold, pos): rows that a random block signal has on, for each fold (fold, first, n, blocks, length) and trial.
+    Trials are seeded apart by trial and fold and run apart."""
+    spark = folds.sparkSession
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"trial": [], "fold": [], "pos": []}, dtype="int64")]
+        for trial, fold, first, n, blocks, length in zip(*(pdf[c] for c in ("trial", "fold", "first", "n", "blocks", "length"))):
+            on = np.flatnonzero(random_blocks(int(n), int(blocks), int(length), np.random.default_rng([seed, int(trial), int(fold)])))
+            out.append(pd.DataFrame({"trial": trial, "fold": fold, "pos": on + first}))
+        return pd.concat(out)
+
+    each = spark.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(folds)).withColumn("_g", F.col("trial") % 64)
+    return each.groupBy("_g").applyInPandas(lambda p: run(p), "trial long, fold long, pos long")

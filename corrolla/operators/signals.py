@@ -146,3 +146,69 @@ def peaks_and_troughs(df: DataFrame, hits: DataFrame, before: int = 25, horizon:
     down = peak.join(p, (F.col("prn") >= F.col("peak_rn")) & (F.col("prn") < F.col("peak_rn") + horizon))
     low = down.groupBy("cluster", "at", "peak", "peak_rn").agg(F.min(F.struct("price", "prn")).alias("m"))
     return low.select("cluster", "peak_rn", "peak", F.col("m.prn").alias("trough_rn"), F.col("m.price").alias("trough"), (F.col("m.price") / F.col("peak") - 1).alias("fall"))
+
+
+def numbered_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """df with pos: the place of each row in its series, from 0, for series whose rn does not begin at 0."""
+    return df.withColumn("pos", (F.row_number().over(S.series(*keys)) - 1).cast("long"))
+
+
+def walk_forward_grid(df: DataFrame, grid: DataFrame, hold: int = 5, cost: float = 0.0005, least: int = 30) -> DataFrame:
+    """Walk-forward by configuration: grid (cfg, train, test, share, side) against one series (panel, rn, price, e_div). A row
+    (cfg, fold, rn, pos, threshold, held, position, market, strategy) for each test row of each fold that has `least` scores
+    to train on. Thresholds are the training rows' quantile `share`; hysteresis and lag restart with each fold; returns
+    are taken before the folds are cut. The grid is a few rows and its folds one for every `test` rows of the series."""
+    rows = numbered_rows(df, "panel").withColumn("market", F.coalesce(S.simple_return(F.col("price"), S.series("panel")), F.lit(0.0)))
+    n = rows.agg((F.max("pos") + 1).alias("n"))
+    steps = F.expr("sequence(0, cast(floor((n - train - test) / test) AS int))")
+    cut = grid.crossJoin(F.broadcast(n)).where("n >= train + test").select("cfg", "train", "test", "share", "side", F.explode(steps).alias("fold"))
+    cut = F.broadcast(cut.withColumn("first", F.col("fold") * F.col("test")))
+    inside = rows.join(cut, F.expr("pos >= first AND pos < first + train")).groupBy("cfg", "fold", "share")
+    known = inside.agg(F.collect_list("e_div").alias("known"))  # a training span's scores
+    known = known.where(F.size("known") >= least).select("cfg", "fold", quantile_of(F.col("known"), F.col("share")).alias("threshold"))
+    out = rows.join(cut, F.expr("pos >= first + train AND pos < first + train + test")).join(F.broadcast(known), ["cfg", "fold"])
+    v = S.series("cfg", "fold")
+    out = out.withColumn("held", S.hysteresis(F.coalesce(F.col("e_div") >= F.col("threshold"), F.lit(False)), v, hold))
+    out = out.withColumn("position", F.lag("held", 1, False).over(v)).withColumn("flip", S.changed(F.col("position"), v))
+    invested = F.when(F.col("side") == "short", ~F.col("position")).otherwise(F.col("position"))
+    strategy = F.when(invested, F.col("market")).otherwise(0.0) - F.when(F.col("flip"), cost).otherwise(0.0)
+    return out.withColumn("strategy", strategy).select("cfg", "fold", "rn", "pos", "threshold", "held", "position", "market", "strategy")
+
+
+def returns_summary(rows: DataFrame, column: str, *keys: str, year: int = YEAR) -> DataFrame:
+    """keys, n, total_return, growth_ratio, mean_ratio and max_drawdown of a column of returns in order of rn."""
+    w = S.series(*keys)
+    run = rows.withColumn("_e", S.growth(F.col(column), w)).withColumn("_d", S.drawdown(F.col("_e"), w))
+    agg = run.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max_by("_e", "rn").alias("_f"), F.stddev_samp(column).alias("_s"), F.avg(column).alias("_m"), F.min("_d").alias("max_drawdown"))
+    vol = F.col("_s") * F.sqrt(F.lit(float(year)))
+    growth = (F.pow("_f", F.lit(float(year)) / F.col("n")) - 1) / vol
+    return agg.select(
+        *keys, "n", (F.col("_f") - 1).alias("total_return"), F.when(vol > 1e-9, growth).otherwise(0.0).alias("growth_ratio"),
+        F.when(F.col("_s") > 1e-9, F.col("_m") / F.col("_s") * F.sqrt(F.lit(float(year)))).otherwise(0.0).alias("mean_ratio"), "max_drawdown",
+    )
+
+
+def grid_summary(run: DataFrame) -> DataFrame:
+    """walk_forward_grid by configuration: folds, return beside the market's and the difference, both ratios, worst drawdown,
+    mean and population deviation of the folds' growth ratios, share of folds that beat the market."""
+    fold = returns_summary(run, "strategy", "cfg", "fold").join(returns_summary(run, "market", "cfg", "fold").select("cfg", "fold", F.col("total_return").alias("_b")), ["cfg", "fold"])
+    by = fold.groupBy("cfg").agg(
+        F.count(F.lit(1)).alias("n_folds"), F.avg("growth_ratio").alias("fold_ratio_mean"), F.stddev_pop("growth_ratio").alias("fold_ratio_sd"),
+        F.avg((F.col("total_return") > F.col("_b")).cast("double")).alias("win_rate"),
+    )
+    market = returns_summary(run, "market", "cfg").select("cfg", F.col("total_return").alias("market_return"))
+    out = returns_summary(run, "strategy", "cfg").join(market, "cfg").join(by, "cfg")
+    return out.withColumn("alpha", F.col("total_return") - F.col("market_return"))
+
+
+def lag_verdict(lags: DataFrame) -> DataFrame:
+    """What lags (lag; null where nothing was crossed) say: counts, middle and a verdict, which needs a majority of a third
+    of the crossings, two at least, and a middle of two rows or more to the same side."""
+    agg = lags.agg(
+        F.count(F.lit(1)).alias("n_events"), F.count("lag").alias("n_cross"), F.count_if(F.expr("lag <= -3")).alias("n_lead"),
+        F.count_if(F.expr("lag > -3 AND lag <= 3")).alias("n_same"), F.count_if(F.expr("lag > 3")).alias("n_lag"),
+        F.median("lag").alias("middle"), F.avg("lag").alias("mean"), F.min("lag").alias("least"), F.max("lag").alias("most"),
+    )
+    margin = F.greatest(F.lit(2), F.floor(F.col("n_cross") / 3))
+    verdict = F.when(F.col("n_cross") == 0, "insufficient").when((F.col("n_lead") - F.col("n_lag") >= margin) & (F.col("middle") <= -2), "predictive")
+    return agg.withColumn("verdict", verdict.when((F.col("n_lag") - F.col("n_lead") >= margin) & (F.col("middle") >= 2), "reactive").otherwise("mixed"))

@@ -336,12 +336,19 @@ def _(spark, d):
     return top.crossJoin(rest)
 
 
-@query("live_z90", f"WITH {IND} SELECT rn, round((l1 - coalesce(CASE WHEN count(l1) OVER w >= 30 THEN avg(l1) OVER w END, 0.5)) / coalesce(CASE WHEN count(l1) OVER w >= 30 THEN stddev_samp(l1) OVER w END, 0.1), 6) + 0.0 AS z FROM ind WINDOW w AS (ORDER BY rn ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING)")
+#: Fixed values. What the live score falls back on with fewer than 30 rows in the last 90 days: mean and deviation.
+LIVE_L1 = (1.045, 0.312)
+
+
+@query("live_z90", f"WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1e6 AS l1 FROM orders GROUP BY 1), z AS (SELECT *, count(l1) OVER w AS n, avg(l1) OVER w AS m, stddev_samp(l1) OVER w AS s FROM o WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)) SELECT CAST(date AS VARCHAR) AS day, n, round(CASE WHEN n >= 30 THEN (l1 - m) / nullif(s, 0) ELSE (l1 - {LIVE_L1[0]}) / {LIVE_L1[1]} END, 6) + 0.0 AS z FROM z")
 def _(spark, d):
-    w = S.series("panel").rowsBetween(-90, -1)
-    enough = F.count("l1").over(w) >= 30
-    mean, sd = (F.coalesce(F.when(enough, f("l1").over(w)), F.lit(x)) for f, x in ((F.avg, 0.5), (F.stddev_samp, 0.1)))
-    return _ind(spark, d).select("rn", r((F.col("l1") - mean) / sd).alias("z"))
+    """Days, not rows: of the 90 calendar days before, those that have a value; the day itself is left out."""
+    o = T.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 1e6).alias("l1"))
+    w = Window.partitionBy("panel").orderBy(F.unix_date("date")).rangeBetween(-90, -1)
+    o = o.withColumn("panel", F.lit("PX")).withColumn("n", F.count("l1").over(w))
+    own = (F.col("l1") - F.avg("l1").over(w)) / F.nullif(F.stddev_samp("l1").over(w), F.lit(0.0))
+    z = F.when(F.col("n") >= 30, own).otherwise((F.col("l1") - LIVE_L1[0]) / LIVE_L1[1])
+    return o.select(F.col("date").cast("string").alias("day"), "n", r(z).alias("z"))
 
 
 @query("event_sessions", "WITH s AS (SELECT *, CASE WHEN coalesce(epoch(date_trunc('second', ts)) - lag(epoch(date_trunc('second', ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 7200, true) THEN 1 ELSE 0 END AS nw FROM events), t AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM s) SELECT user_id, session, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM t GROUP BY 1, 2")
@@ -367,10 +374,13 @@ def _(spark, d):
     return T.daily_balance(e, "day", "event_id", "value", "user_id").select("user_id", "day", r("balance", 4).alias("balance"))
 
 
-@query("event_density", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) RANGE BETWEEN INTERVAL 15 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS density_15d FROM events")
+@query("event_density", "WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(ts AS DATE) - lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 15 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS density_15d, count(*) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS density_30d, CAST(gap AS INT) AS days_since, CASE WHEN gap > 0 THEN round(ln(1 + 30.0 / gap), 6) END AS log_inv_gap FROM e")
 def _(spark, d):
-    e = T.table(spark, d, "events").withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")))
-    return e.select("event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("day").rangeBetween(-15, -1)).alias("density_15d"))
+    e = T.table(spark, d, "events").withColumn("day", F.unix_date(F.col("ts").cast("date")))
+    w = Window.partitionBy("user_id").orderBy("day")
+    gap = F.col("day") - F.lag("day").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    counts = [F.count(F.lit(1)).over(w.rangeBetween(-n, -1)).alias(f"density_{n}d") for n in (15, 30)]
+    return e.select("event_id", *counts, gap.alias("days_since"), F.when(gap > 0, r(F.log(1 + 30.0 / gap))).alias("log_inv_gap"))
 
 
 # ---- targets, audits, comparisons
