@@ -10,6 +10,8 @@ from corrolla.functions import series as S
 def nearest_rows(events: DataFrame, rows: DataFrame, key: str = "label") -> DataFrame:
     """Each event (event_date and more, told apart by key) with the row of the nearest date in each panel, however far, the
     later one on a tie. Two as-of lookups, the date before and the one after, by one union and one window; events are few."""
+    if "panel" not in rows.columns:  # one series
+        return nearest_rows(events, rows.withColumn("panel", F.lit("-")), key).drop("panel")
     dates = rows.select("panel", "date").distinct()
     marks = rows.select("panel").distinct().crossJoin(F.broadcast(events.select(key, "event_date")))
     both = dates.select("panel", F.col("date").alias("_at"), "date").withColumn("_side", F.lit(0))

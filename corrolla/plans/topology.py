@@ -182,7 +182,8 @@ def symbols_of(spark, d):
 
 def scenario_series(spark, d, excluded):
     """window_invariants of each scenario (scenario, symbol left out) and of `all`, for every window."""
-    _, pairs = settled_pairs(spark, d)
+    rets, pairs = settled_pairs(spark, d)
+    pairs = pairs.join(F.broadcast(P.window_ends(rets, W).select("rn")), "rn")  # the windows of gamma_series
     every = excluded.unionByName(spark.createDataFrame([("all", "-")], "scenario string, symbol string"))
     return N.window_invariants(N.scenarios(pairs, symbols_of(spark, d), settled(every, "scenarios")), ["scenario", "rn"])
 
