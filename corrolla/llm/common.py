@@ -4,30 +4,18 @@ from __future__ import annotations
 
 import atexit
 import gc
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corrolla.sources.shared import shared_dir
+
 #: The white space that separates words, as a regular-expression class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
 #: Rows of a written intermediate are kept here, below the cluster's shared folder.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary
-    folder; on a cluster that would be a folder that no other machine sees, so it is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="corrolla-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 

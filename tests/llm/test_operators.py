@@ -170,6 +170,29 @@ def test_quality_model_learns_rules_and_takes_odd_rows(spark, docs, none):
     assert quality_model.score_documents(none, quality_model.train(none, labels)).count() == 0
 
 
+def test_the_column_expression_is_the_model(spark, docs):
+    """The compiled score against the rules evaluated on the same statistics, and each rule against its terms."""
+    rng = random.Random(5)
+    good = [(100 + i, prose(rng, 60 + i % 40)) for i in range(120)]
+    bad = [(300 + i, " | ".join(prose(rng, 1 + i % 3) for _ in range(20))) for i in range(120)]
+    df = spark.createDataFrame(rows_of(good + bad), SCHEMA)
+    labels = spark.createDataFrame([(i, int(i < 300 or i % 9 == 0)) for i, _ in good + bad], "doc_id long, quality int")
+    model = quality_model.train(df, labels)
+    assert len(model.rules) > 1
+    both = df.unionByName(docs)
+    stats, names = quality_model.text_statistics(both, "text")
+    pdf = stats.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), *names, model.score().alias("score")).toPandas()
+    x = {n: pdf[n].to_numpy(float) for n in names}
+    assert np.allclose(pdf["score"], model.predict(x))
+    z = np.full(len(pdf), model.bias)
+    for rule, weight in model.rules:
+        for k in range(len(pdf)):
+            z[k] += weight * all((x[n][k] > at) if above else (x[n][k] <= at) for n, above, at in rule.terms)
+    assert np.allclose(pdf["score"], 1 / (1 + np.exp(-z)))
+    again = {r["doc_id"]: r["score"] for r in quality_model.score_documents(df, model).collect()}
+    assert all(again[i] == pytest.approx(v) for i, v in zip(pdf["doc_id"], pdf["score"]) if i in again and i >= 100)
+
+
 def test_bpe_equals_the_library(docs, none):
     import tiktoken
 
@@ -215,6 +238,22 @@ def test_differencing_is_near_equal_and_consistent():
     assert np.ptp(loads) < 20
 
 
+def test_differencing_brute_force():
+    """Plain Karmarkar-Karp: the two partial partitions of largest spread are joined, largest to smallest."""
+    rng = np.random.default_rng(4)
+    for n, k in ((2, 3), (17, 4), (120, 5)):
+        size = rng.choice(np.arange(1000, 10**6), n, replace=False)
+        parts = [sorted([int(x)] + [0] * (k - 1)) for x in size]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: (p[0] - p[-1], p))
+            a, b = parts.pop(0), parts.pop(0)
+            parts.append(sorted(x + y for x, y in zip(a, reversed(b))))
+        v = np.zeros((n, k), dtype=np.int64)
+        v[:, 0] = size
+        loads, goes = sharding.difference(v)
+        assert sorted(loads.tolist()) == parts[0] and np.bincount(goes[:, 0], size, k).astype(int).tolist() == loads.tolist()
+
+
 def test_blocks_of_groups_and_levels(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_GROUPS", 20)
     monkeypatch.setattr(sharding, "LAST_VECTORS", 4)
@@ -385,7 +424,13 @@ def test_packing(docs, none, texts):
             assert o == at
             at += n
         assert at <= 256
-    whole = packing.sequences(packing.pack_documents(docs, path, 256), 256)
+    every = packing.pack_documents(docs, path, 256)  # null and repeated ids: each row by itself
+    held = {r["doc_id"]: r["s"] for r in every.groupBy("doc_id").agg(F.sum("length").alias("s")).collect()}
+    rows = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    for i, n in rows.items():
+        t = "text without id" if i is None else text[i] or ""
+        assert held[i] == n * (len(tok.encode(t, add_special_tokens=False).ids) + 1)
+    whole = packing.sequences(every, 256)
     assert whole.where("octet_length(ids) <> 1024").count() == 0
     assert packing.pack_documents(none, path, 256).count() == 0
 
