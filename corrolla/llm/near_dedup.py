@@ -15,7 +15,7 @@ from corrolla.llm.components import components
 from corrolla.llm.shingles import mix, set_digest, shingles_of_texts, words_of_texts
 
 #: Documents that a worker sketches at a time.
-SLICE = 256
+SLICE = 128
 #: Classes, and shingles of all of them, that one side of a block holds.
 BLOCK_CLASSES, BLOCK_SHINGLES = 128, 400_000
 

@@ -13,7 +13,7 @@ _SPACE = np.isin(np.arange(256), [*b"\x20\t\n\x0b\f\r"])
 _BYTE = np.random.default_rng(20).integers(1 << 62, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
 #: Bytes of text whose words are valued at a time, but for a longer word.
-PIECE = 1 << 21
+PIECE = 1 << 18
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
