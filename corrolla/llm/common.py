@@ -73,8 +73,9 @@ def forget_written() -> None:
 atexit.register(forget_written)
 
 
-#: Bytes of a table that are sent to every executor at most, whatever its rows are wide.
-SENT_BYTES = 16 << 20
+#: Bytes of a table that are sent to every executor at most, whatever its rows are wide. The driver holds a sent table as a
+#: hash table of up to four times its values, besides the rows and the blocks it is made of, and several at a time.
+SENT_BYTES = 4 << 20
 
 
 def size_of(df: DataFrame) -> int:

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from corrolla.llm import bpe, near_dedup, neighbours, packing, preferences, quality_model, quality_rules, secrets, sharding, substring_dedup
+from corrolla.llm import bpe, common, near_dedup, neighbours, packing, preferences, quality_model, quality_rules, secrets, sharding, substring_dedup
 
 WORDS = ["alpha", "beta", "gamma", "delta", "river", "stone", "light", "cloud", "of", "the", "and", "a", "in"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, n long, ids string, spans string, key string, size string, node string, label string, loads string"
@@ -454,3 +454,10 @@ def test_best_fit_by_runs_is_best_fit():
             for j in range(b - a):
                 used[first + j // per] += size
         assert sorted(64 - x for x in used.values()) == sorted(rooms)
+
+
+def test_the_driver_holds_no_table_of_many_megabytes(spark):
+    """A hash table of a sent table takes up to four times its values in the driver, several at a time."""
+    large, small = spark.range(250_000), spark.range(100_000)
+    assert common.size_of(large) > 5e6
+    assert common.send_small(large) is large and common.send_small(small) is not small
