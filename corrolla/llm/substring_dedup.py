@@ -12,10 +12,10 @@ from corrolla.llm.common import discard, join_skewed, read_documents, send_small
 from corrolla.llm.shingles import mix, set_digest, shingle_values, shingles_of_texts, word_values, words_of_texts
 
 SLICE = 128
-#: Windows of one key that one side of a block holds. A key in more windows, and in more than one of SHARE, is refined.
-BLOCK, SHARE = 512, 1 << 17
-#: Second-level hashes of a refined key.
-SECOND = 2
+#: Windows of one key that one side of a block holds, and those that a window is held against at once.
+BLOCK, TILE = 2048, 512
+#: Windows looked at together, those with most in common first, until one is alike.
+CLOSEST = 32
 #: Windows in common from which two texts are compared without a look at the windows: an exact repeat has one for each hash.
 SURE = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,9 +205,6 @@ def _longest_alike(runs: list[tuple[int, int, int]], percent: int) -> tuple[int,
     return (int(first[k]), k + 1) if wide[k] else (0, len(n))
 
 
-
-
-
 def _distinct(values: np.ndarray, size: int) -> np.ndarray:
     """How many distinct values each stretch of `size` has (of all, if there are fewer)."""
     n = len(values)
@@ -305,26 +302,13 @@ def _numbered(signed: DataFrame) -> DataFrame:
     return signed.dropDuplicates(["_id", "_t"]).join(units, ["_id", "_t"])
 
 
-def refined_keys(key: int, stretch: np.ndarray, stock: np.ndarray, least: int) -> list[int]:
-    """Keys in place of a hot one for a window whose shingles, `least` - 1 at most to either side of its place, have the prints
-    (16 bits) in stretch: the key joined with the second-level min-hash of each sequence of `least` in it, over the prints
-    that aren't stock (a table of 65,536). An exact repeat agrees in all of them; a sequence of stock alone has one."""
-    out = []
-    for j in range(SECOND):
-        values = np.where(stock[stretch], ~np.uint64(0), mix(stretch.astype(np.uint64) + np.uint64(j << 20)))
-        lows = np.unique(_over(values, min(least, len(values)), np.minimum))
-        out += mix(mix(lows + np.uint64(j)) ^ np.uint64(key & (1 << 64) - 1)).view(np.int64).tolist()
-    return out
-
-
 def _earliest_alike(rows: dict[str, list], words: int, percent: int, min_words: int) -> list[tuple]:
     """For the open windows of one block, one earlier text's window of another part with a passage alike that holds the
     window's place (a block of a single part gives each row a part of its own), and less the shingles in common; all told
     by 16 bits of each shingle.
 
-    Every window is held against every earlier one: the places whose shingles the other window has are looked up for all
-    of them at once, and where they are many and near enough the two windows' passages are compared, those with most in
-    common first, until one is found.
+    Every open window is held against every earlier one, TILE of them at once: the shingles in common are counted in a table
+    of the tile's sets. Those with enough are looked at closely, those with most in common first, until one has a passage alike.
     """
     prints, least = [np.frombuffer(x, np.uint16) for x in rows["prints"]], max(1, min_words - words + 1)
     rank, part, place = (np.array(rows[c]) for c in ("_u", "part", "place"))
@@ -337,8 +321,6 @@ def _earliest_alike(rows: dict[str, list], words: int, percent: int, min_words:
     width = int(column.max()) + 1
     columns = np.full((len(prints), max(2 * least - 1, int(length.max()))), width)  # of each place, the print's column; none beyond the end
     columns[owner, at] = column
-    member = np.zeros((len(prints), width + 1), dtype=bool)
-    member[owner, column] = True
     ordered = np.sort(columns, axis=1)
     several = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] < width)).any(axis=1)
     fewest = np.array([int(_distinct(p, least).min()) if more else min(least, len(p)) for p, more in zip(prints, several)])
@@ -346,8 +328,37 @@ def _earliest_alike(rows: dict[str, list], words: int, percent: int, min_words:
     for i in np.flatnonzero(several):
         new[i, : length[i]] = False
         new[i, np.unique(columns[i, : length[i]], return_index=True)[1]] = True
-    new[:, :] |= columns == width  # beyond the end nothing is alike
     share = percent / (100 + percent)  # shared shingles of two sets alike are at least this part of their sizes' sum
+    # only shingles of two rows or more can be in common
+    holders = np.bincount(columns[new], minlength=width)
+    number = np.append(np.where(holders > 1, np.cumsum(holders > 1) - 1, -1), -1)
+    width = int((holders > 1).sum())
+    columns = number[columns]
+    columns[columns < 0] = width
+    own = [columns[i][new[i] & (columns[i] < width)] for i in range(len(prints))]
+    new |= np.arange(columns.shape[1]) >= length[:, None]  # beyond the end nothing is alike
+    count_type = np.uint8 if columns.shape[1] < 256 else np.uint32
+    able: dict[int, list] = {int(i): [] for i in open_}
+    two = len(np.unique(part)) == 2  # a side is held against the other one alone
+    for side in [np.flatnonzero(part == p) for p in np.unique(part)] if two else [np.arange(len(part))]:
+        order = side[np.argsort(rank[side], kind="stable")]
+        against = open_[part[open_] != part[side[0]]] if two else open_
+        for tile in [order[start : start + TILE] for start in range(0, len(order), TILE)]:
+            table = np.zeros((width, len(tile)), dtype=np.uint8)
+            for k, j in enumerate(tile):
+                table[own[j], k] = 1
+            low, first = fewest[tile].min(), rank[tile[0]]
+            for i in against:
+                least_count = share * (low + fewest[i]) - 1e-9
+                if rank[i] <= first or len(own[i]) < least_count:
+                    continue
+                count = table[own[i]].sum(axis=0, dtype=count_type)
+                keep = np.flatnonzero(count >= least_count)
+                if len(keep):
+                    j = tile[keep]
+                    ok = (count[keep] >= share * (fewest[j] + fewest[i]) - 1e-9) & (rank[j] < rank[i]) & (part[j] != part[i])
+                    if ok.any():
+                        able[int(i)].append((j[ok], count[keep][ok].astype(np.int64)))
 
     def reaches(hits: np.ndarray, distinct: np.ndarray, part: float) -> np.ndarray:
         """Of each row, whether some stretch of `least` places or more has hits for at least this part of its distinct ones."""
@@ -355,29 +366,36 @@ def _earliest_alike(rows: dict[str, list], words: int, percent: int, min_words:
         np.cumsum(hits - part * distinct, axis=1, out=sums[:, 1:])
         return (sums[:, least:] - np.minimum.accumulate(sums[:, :-least], axis=1)).max(axis=1) >= -1e-9
 
-    out, left = [], rows["left"]
-    for i in open_:
-        able = np.flatnonzero((rank < rank[i]) & (part != part[i]))
-        mine = member[able][:, columns[i]]
-        count = (mine & new[i]).sum(axis=1)
-        keep = count >= np.ceil(share * (fewest[able] + fewest[i]) - 1e-9)
-        able, mine, count = able[keep], mine[keep], count[keep]
-        if not len(able):
+    out, left, slot = [], rows["left"], np.zeros(width + 1, dtype=np.int64)
+    for i, found in able.items():
+        if not found:
             continue
-        # either stretch alike has `percent` of its shingles in the other, and one of the two has 2 * share
-        other = member[i][columns[able]]
-        keep = reaches(mine, new[[i]], percent / 100) & reaches(other, new[able], percent / 100)
-        able, mine, other, count = able[keep], mine[keep], other[keep], count[keep]
-        keep = reaches(mine, new[[i]], 2 * share) | reaches(other, new[able], 2 * share)
-        able, mine, count = able[keep], mine[keep], count[keep]
-        y = prints[i].astype(np.uint64)
-        for k in np.lexsort((rank[able], -count)):
-            j = int(able[k])
-            if not _dense(mine[k][: length[i]], left[i], least) or not _dense(member[i][columns[j, : length[j]]], left[j], least):
-                continue
-            if any(f <= left[i] <= t for _, _, f, t in shared_passages(prints[j].astype(np.uint64), y, words, percent, min_words)):
-                out.append((-int(count[k]), int(rank[j]), int(place[j]), int(rank[i]), int(place[i])))
+        js, count = (np.concatenate(x) for x in zip(*found))
+        best = np.lexsort((rank[js], -count))
+        js, count = js[best], count[best]
+        slot[own[i]] = np.arange(1, len(own[i]) + 1)
+        y, hit = prints[i].astype(np.uint64), None
+        for start in range(0, len(js), CLOSEST):
+            some = js[start : start + CLOSEST]
+            at = slot[columns[some]]  # which of i's shingles stands at each place, from 1
+            has = np.zeros((len(some), len(own[i]) + 1), dtype=bool)
+            has[np.arange(len(some))[:, None], at] = True
+            has[:, 0] = False
+            mine, other = has[:, slot[columns[i]]], at > 0
+            # either stretch alike has `percent` of its shingles in the other, and one of the two has 2 * share
+            keep = reaches(mine, new[[i]], percent / 100) & reaches(other, new[some], percent / 100)
+            keep &= reaches(mine, new[[i]], 2 * share) | reaches(other, new[some], 2 * share)
+            for k in np.flatnonzero(keep):
+                j = int(some[k])
+                if not _dense(mine[k][: length[i]], left[i], least) or not _dense(other[k][: length[j]], left[j], least):
+                    continue
+                if any(f <= left[i] <= t for _, _, f, t in shared_passages(prints[j].astype(np.uint64), y, words, percent, min_words)):
+                    hit = (-int(count[start + k]), int(rank[j]), int(place[j]), int(rank[i]), int(place[i]))
+                    break
+            if hit:
+                out.append(hit)
                 break
+        slot[own[i]] = 0
     return out
 
 
@@ -402,8 +420,8 @@ def substring_duplicates(
     passage found covers its place, as the window stands for the passages that hold this place. Each window left over
     is then held against every earlier window of its key: the two windows' intervals, aligned at their places and at most
     `least` shingles wide to either side, must hold passages alike around the place, and the two texts are compared from
-    end to end. Keys in more than BLOCK windows are thinned first (_thinned) and dealt into blocks, so that no task
-    holds a key; nothing is left untried. So no text keeps a passage of min_words that shares a window's place with an
+    end to end. Keys in more than BLOCK windows are dealt into blocks, each pair of which meets once, so that no task holds
+    a key; nothing is left untried, and what is found for two texts doesn't depend on how many others there are. So no text keeps a passage of min_words that shares a window's place with an
     earlier one.
 
     Null ids and texts of fewer words take no part. Texts with equal words are compared once; those of larger ids are
@@ -435,16 +453,15 @@ def substring_duplicates(
     marked = shared.join(send_small(spans), "_u", "left")
     covered = F.exists(F.coalesce("spans", F.array()), lambda s: (s["first"] <= place) & (place <= s["last"] - words))
     marked = written(marked.select("key", "_u", "at", "c", ((F.col("_u") != F.col("a")) & ~covered).alias("open")), "marked")
-    most = marked.count() / SHARE
     tidy(docs)
     left = written(marked.where("open AND c > 2").select("key").distinct(), "left")
     own = once.select("_u", F.col("wide").alias("prints"))
     near = marked.join(send_small(left), "key", "left_semi").join(own, "_u").select(
-        "key", "_u", "c", place.alias("place"), reach.alias("left"), "open", F.substring("prints", 2 * (place - reach) + 1, 2 * (reach + right + 1)).alias("prints")
+        "key", "_u", place.alias("place"), reach.alias("left"), "open", F.substring("prints", 2 * (place - reach) + 1, 2 * (reach + right + 1)).alias("prints")
     )
     near = written(near, "near")
     discard(signed, shared, marked, left)
-    more = _compared(near, most, words, percent, min_words)
+    more = _compared(near, words, percent, min_words)
     again = _verified(more, units, docs, words, percent, min_words, id_col, text_col)
     discard(near, more, likely)
 
@@ -541,29 +558,11 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, p
     return found
 
 
-def _compared(near: DataFrame, most: float, words: int, percent: int, min_words: int) -> DataFrame:
-    """For the open windows of near (key, _u, c, place, left, open, prints), those of keys in more than BLOCK and `most` windows
-    refined, the pairs of texts with the seeds of _earliest_alike."""
-    least = max(1, min_words - words + 1)
+def _compared(near: DataFrame, words: int, percent: int, min_words: int) -> DataFrame:
+    """For the open windows of near (key, _u, place, left, open, prints), the pairs of texts with the seeds of _earliest_alike.
+    Keys of any number of windows are held against themselves as a whole, in blocks: no window is left out or thinned."""
     names = ["key", "_u", "place", "left", "open", "prints"]
-    is_hot = (F.col("c") > BLOCK) & (F.col("c") > most)
-    found = near.where(is_hot).select(F.substring("prints", 2 * F.col("left") + 1, F.lit(2)).alias("p")).distinct().collect()  # 65,536 at most
-    rows = near.where(~is_hot).select(names)
-    if found:
-        stock = np.zeros(1 << 16, dtype=bool)
-        stock[np.frombuffer(b"".join(bytes(x[0]) for x in found), np.uint16)] = True
-
-        def refine(batches):
-            for batch in batches:
-                keys = [refined_keys(k, np.frombuffer(p, np.uint16), stock, least) for k, p in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist())]
-                which = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-                rest = batch.take(which)
-                yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), *rest.columns[1:]], names=names)
-
-        hot = near.where(is_hot).select(names).mapInArrow(refine, near.select(names).schema)
-        rows = all_rows = written(rows.unionByName(hot), "rows")
-    else:
-        rows = all_rows = written(rows, "rows")
+    rows = near.select(names)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_u").alias("lo"), F.max("_u").alias("hi"), F.max("open").alias("some")).where("lo <> hi AND some")
     sizes = written(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "sizes")
     rows = rows.join(send_small(sizes), "key")
@@ -599,9 +598,7 @@ def _compared(near: DataFrame, most: float, words: int, percent: int, min_words:
     pairs = dealt.mapInArrow(run, "less int, a long, pa int, _u long, pb int")
     one = pairs.groupBy("_u", "pb").agg(F.min(F.struct("less", "a", "pa")).alias("m"))  # the one with most in common
     out = one.groupBy(F.col("m.a").alias("a"), "_u").agg(F.collect_list(F.struct(F.col("m.pa").alias("a"), F.col("pb").alias("b"))).alias("seeds"))
-    out = written(out, "alike")
-    discard(all_rows)
-    return out
+    return written(out, "alike")
 
 
 def _merged(spans: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from corrolla.llm import substring_dedup as S
 from corrolla.llm.shingles import mix, shingle_values, word_values
 
@@ -168,3 +169,54 @@ def test_stock_phrases_do_not_cut_a_passage():
     source = stock + prose(rng, 100) + passage + prose(rng, 30)
     got = S.shared_passages(shingles(source), shingles(passage[:30] + stock + passage[30:]), 5, 75, 50)
     assert (0, 61) in [x[2:] for x in got]
+
+
+def among_many(seed, n):
+    """Texts 1000 and 1001, alike, that share one key, and n unrelated ones with that key before them."""
+    rng = random.Random(seed)
+    a = prose(rng, 60)
+    b = [*a]
+    b[rng.randrange(10, 50)] = "changed"
+    [key] = keys(a) & keys(b)
+    hashed = mix(shingles(a) ^ np.uint64(0xA0761D6478BD642F * ((key & 7) + 1) & (1 << 64) - 1))
+    place = (hashed & ~np.uint64(7) | np.uint64(key & 7)).view(np.int64).tolist().index(key)
+    texts = {1000: a, 1001: b}
+    for i in range(n):
+        texts[i] = []
+        while key not in keys(texts[i]):
+            texts[i] = prose(rng, 25) + a[place : place + 5] + prose(rng, 25)
+    return texts
+
+
+def test_a_pair_is_found_among_any_number_of_texts_with_its_key(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 6)
+    for seed in (2979, 3359):
+        few, many = found(spark, among_many(seed, 2)), found(spark, among_many(seed, 20))
+        assert few == many and [(b, a) for b, _, _, a in many] == [(1001, 1000)]
+
+
+def test_the_stage_cuts_a_passage_among_any_number_of_texts_with_its_key(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 6)
+    for n in (2, 20):
+        texts = among_many(6655, n)
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+        left = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+        assert left.pop(1001, []) != texts.pop(1001) and left == texts
+
+
+def test_blocks_and_tiles_give_what_holding_all_at_once_gives(monkeypatch):
+    """The best earlier window of each open one is the same, however many are held against each other at once."""
+    rng = np.random.default_rng(8)
+    stock, base, rows = rng.integers(0, 1 << 16, 16), rng.integers(0, 1 << 16, 91), []
+    for n in range(60):
+        x = rng.integers(0, 1 << 16, 91)
+        x[38:54] = stock
+        if n % 3 == 0:
+            x = base.copy()
+            x[rng.integers(46, 80) :][:6] = rng.integers(0, 1 << 16, 6)
+        rows.append((n - 60, 7, int(rng.integers(0, 40)), n, 45, n % 5 > 0, x.astype(np.uint16).tobytes()))
+    held = {c: list(v) for c, v in zip(("part", "key", "_u", "place", "left", "open", "prints"), zip(*rows))}
+    whole = S._earliest_alike(held, 5, 80, 50)
+    monkeypatch.setattr(S, "TILE", 7)
+    monkeypatch.setattr(S, "CLOSEST", 2)
+    assert len(whole) > 5 and S._earliest_alike(held, 5, 80, 50) == whole
