@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrolla.sources.shared import shared_dir
@@ -94,6 +96,27 @@ def send_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= SENT_BYTES else df
 
 
+def _release() -> None:
+    """Give memory that this process has free back to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run):
+    """run (of mapInArrow) whose worker keeps no free memory once a task is over: workers stay for all later stages, and what
+    each has freed would count against its executor till the end."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return released
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

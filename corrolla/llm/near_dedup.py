@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corrolla.llm.common import join_skewed, read_documents, send_small, text_or_empty, written
+from corrolla.llm.common import join_skewed, read_documents, releasing, send_small, text_or_empty, written
 from corrolla.llm.components import components
 from corrolla.llm.shingles import mix, set_digest, shingles_of_texts, words_of_texts
 
@@ -114,7 +114,7 @@ def sketch_documents(docs: DataFrame, sketch: Sketch, words: int, id_col: str =
                     names=["_id", "n", "digest", "registers"],
                 )
 
-    return rows.mapInArrow(run, f"_id {kind}, n long, digest binary, registers binary")
+    return rows.mapInArrow(releasing(run), f"_id {kind}, n long, digest binary, registers binary")
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -131,7 +131,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_c
                 kept = part.select([1, 2]).filter(pa.array(own, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([s.tobytes() for s, ok in zip(sets, own) if ok], pa.binary())], names=["node", "n", "values"])
 
-    return found.select("_text", "node", "n").mapInArrow(run, "node binary, n long, values binary")
+    return found.select("_text", "node", "n").mapInArrow(releasing(run), "node binary, n long, values binary")
 
 
 def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -193,7 +193,7 @@ def _unlikely_pairs(groups: DataFrame, classes: DataFrame, sketch: Sketch, perce
                 low = sketch.estimate(a, b, na, nb) < percent / 100 - margin
                 yield batch.select([0]).filter(pa.array(low))
 
-    return rows.mapInArrow(run, "label long")
+    return rows.mapInArrow(releasing(run), "label long")
 
 
 def _parts(rows: DataFrame, key: str) -> DataFrame:
@@ -340,7 +340,7 @@ def drop_near_duplicates(
             yield pa.RecordBatch.from_arrays([*batch.columns, own], schema=batch.schema.append(pa.field("_set", pa.binary())))
 
     several = docs.join(send_small(odd), of_odd, "left_semi")
-    several = several.mapInArrow(digests, StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
+    several = several.mapInArrow(releasing(digests), StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
     several = several.join(gone.withColumnsRenamed({"_id": "_gone", "digest": "_own"}), several[id_col].eqNullSafe(F.col("_gone")) & several["_set"].eqNullSafe(F.col("_own")), "left_anti")
     return plain.unionByName(several.dropDuplicates([id_col, "_set"]).select(names))
 

@@ -11,12 +11,12 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corrolla.llm.common import numbered, read_documents, text_or_empty, written
+from corrolla.llm.common import numbered, read_documents, releasing, text_or_empty, written
 from corrolla.llm.memo import LATIN_WORD, MARKS, WORD_PATTERN
 
 SLICE = 500
 #: Entries that each of the two generations of a worker's memo of words may hold.
-ROOM = 400_000
+ROOM = 200_000
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -138,7 +138,7 @@ def token_pieces(
                     columns.append(pa.array(out[5], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 class _Open:

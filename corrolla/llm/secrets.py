@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corrolla.llm.common import read_documents, text_or_empty
+from corrolla.llm.common import read_documents, releasing, text_or_empty
 
 #: Texts that one block's postings cover, and the code points it may hold (one longer text is a block by itself).
 BLOCK_TEXTS, BLOCK_CHARS = 512, 4_000_000
@@ -224,9 +224,6 @@ class Index:
         return found
 
 
-_INDEXES: dict[tuple[Rule, ...], Index] = {}
-
-
 def blocks(texts: list[str]) -> Iterable[tuple[int, list[str]]]:
     """Runs of texts that are one block each, with the place of their first."""
     at = 0
@@ -252,9 +249,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        if rules not in _INDEXES:
-            _INDEXES[rules] = Index(rules)
-        index = _INDEXES[rules]
+        index = Index(rules)  # by the task: made in a twentieth of a second, and its table takes 34 MB
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_TEXTS):
                 part = batch.slice(at, BLOCK_TEXTS)
@@ -263,7 +258,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
                     spans += [[{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in found] for found in index.scan(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(span))], names=[id_col, "spans"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(releasing(run), f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[{}]") -> DataFrame:
@@ -271,9 +266,7 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col:
     fields = docs.schema
 
     def run(batches):
-        if rules not in _INDEXES:
-            _INDEXES[rules] = Index(rules)
-        index = _INDEXES[rules]
+        index = Index(rules)  # by the task: made in a twentieth of a second, and its table takes 34 MB
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_TEXTS):
                 part = batch.slice(at, BLOCK_TEXTS)
@@ -291,7 +284,7 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col:
                 columns[place] = pa.array(out, part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(releasing(run), fields)
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corrolla.llm.common import discard, join_skewed, read_documents, send_small, text_or_empty, tidy, written
+from corrolla.llm.common import discard, join_skewed, read_documents, releasing, send_small, text_or_empty, tidy, written
 from corrolla.llm.shingles import mix, set_digest, shingle_values, shingles_of_texts, word_values, words_of_texts
 
 SLICE = 128
@@ -288,7 +288,7 @@ def _scanned(docs: DataFrame, words: int, hashes: int, min_words: int, id_col: s
                     names=["_id", "_t", "n", "digest", "fewest", "prints", "wide", "keys", "ats"],
                 )
 
-    return rows.mapInArrow(run, f"_id {kind}, _t long, n int, digest binary, fewest int, prints binary, wide binary, keys array<long>, ats array<long>")
+    return rows.mapInArrow(releasing(run), f"_id {kind}, _t long, n int, digest binary, fewest int, prints binary, wide binary, keys array<long>, ats array<long>")
 
 
 def _numbered(signed: DataFrame) -> DataFrame:
@@ -497,7 +497,7 @@ def _likely(shared: DataFrame, least: int, percent: int) -> DataFrame:
                 enough = 100 * (hits[:, least:] - hits[:, :-least]).max(axis=1) >= percent * part.column(2).to_numpy()
                 yield part.select([0, 1]).filter(pa.array(enough))
 
-    likely = both.mapInArrow(run, "a long, _u long").unionByName(later.where(F.col("both") >= SURE).select("a", "_u"))
+    likely = both.mapInArrow(releasing(run), "a long, _u long").unionByName(later.where(F.col("both") >= SURE).select("a", "_u"))
     likely = likely.distinct().withColumn("seeds", F.array().cast("array<struct<a:int,b:int>>"))
     return written(likely, "likely")
 
@@ -529,7 +529,7 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, p
                 same = [text_hash(every[a:b]) == t for a, b, t in zip(starts[:-1].tolist(), starts[1:].tolist(), part.column(1).to_pylist())]
                 yield part.select([0, 2]).filter(pa.array(same, pa.bool_()))
 
-    texts = rows.join(send_small(wanted), "_id").select("_u", "_t", "text").mapInArrow(own, "_u long, text string")
+    texts = rows.join(send_small(wanted), "_id").select("_u", "_t", "text").mapInArrow(releasing(own), "_u long, text string")
     texts = written(texts.dropDuplicates(["_u"]), "texts")
     both = pairs.join(texts, "_u").join(texts.select(F.col("_u").alias("a"), F.col("text").alias("a_text")), "a").select("_u", "a", "seeds", "text", "a_text")
 
@@ -553,7 +553,7 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int, p
                 spans += [(f + at, u + at) for _, _, f, u in shared_passages(x[from_ : p + least], y[at : q + least], words, percent, min_words)]
         return spans
 
-    found = written(both.mapInArrow(run, "_u long, a long, first int, last int"), "passages")
+    found = written(both.mapInArrow(releasing(run), "_u long, a long, first int, last int"), "passages")
     discard(texts)
     return found
 
@@ -595,7 +595,7 @@ def _compared(near: DataFrame, words: int, percent: int, min_words: int) -> Data
                     held[n] += part.column(x + 3).to_pylist()
         yield done()
 
-    pairs = dealt.mapInArrow(run, "less int, a long, pa int, _u long, pb int")
+    pairs = dealt.mapInArrow(releasing(run), "less int, a long, pa int, _u long, pb int")
     one = pairs.groupBy("_u", "pb").agg(F.min(F.struct("less", "a", "pa")).alias("m"))  # the one with most in common
     out = one.groupBy(F.col("m.a").alias("a"), "_u").agg(F.collect_list(F.struct(F.col("m.pa").alias("a"), F.col("pb").alias("b"))).alias("seeds"))
     return written(out, "alike")
@@ -641,7 +641,7 @@ def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             columns[place] = pa.array(out, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(releasing(run), docs.schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
