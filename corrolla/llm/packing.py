@@ -6,17 +6,25 @@ import json
 import os
 import zlib
 from array import array
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrolla.llm.common import numbered, read_documents, releasing, text_or_empty, written
-from corrolla.llm.memo import LATIN_WORD, MARKS, WORD_PATTERN
-
-SLICE = 500
-#: Entries that each of the two generations of a worker's memo of words may hold.
-ROOM = 200_000
+from corrolla.llm.memo import WORD_PATTERN
+
+#: Bytes of texts that are encoded at a time (one text at least): each word in them is encoded once.
+SLICE = 8 << 20
+#: Words of these characters are cut alike by both libraries, whatever Unicode tables they have.
+PLAIN_WORD = "\\A[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][\\t\\n\\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*\\z"
+#: Bytes of a word beyond which it is left to the tokenizer, as the rank library's pattern steps back over long white space.
+PLAIN_BYTES = 1000
+#: Bytes of words that the tokenizer is given at a time (one word at least).
+PART = 1 << 16
+#: First words of texts, of 64 characters at most, that a worker remembers.
+ROOM = 50_000
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -26,13 +34,25 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
 
 
+def _spans(texts: pa.Array, size: int):
+    """(from, to) of consecutive runs of texts, of `size` bytes at most or a single text each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield at, to
+        at = to
+
+
 class _Ids:
     """Token ids of texts, as little-endian unsigned 32-bit integers, equal to the tokenizer's for each whole text.
 
-    Where every space precedes a visible character a text's words, with the space before, are encoded once each and
-    remembered. A word of Latin letters, with one mark at most after it, is a known piece: its merges run in the rank
-    library over the tokenizer's own vocabulary, if that has its merges in the order of its ids. All others, and all
-    other texts, go through the tokenizer.
+    Where every space precedes a visible character each word, with the space before, can be encoded apart. The distinct
+    words of many texts are joined to one text, and its ids are cut at the words' ends, which are ends of tokens. Words
+    that are plain (PLAIN_WORD) go through the rank library over the tokenizer's own vocabulary, if that has its merges
+    in the order of its ids, all others through the tokenizer. Other texts, and all texts where the tokenizer's file
+    isn't a plain byte-level one, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -41,68 +61,112 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
-        self.piece = self._merges()
-
-    def _merges(self):
-        """bytes -> ids by ranks, or None where the tokenizer's file isn't a plain byte-level one."""
-        import tiktoken
-
+        self.heads: dict[str, bytes] = {}
+        self.widths = self.by_rank = None
         about = json.loads(self.tokenizer.to_str())
         model, before = about["model"], about.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         if not plain or about.get("normalizer") or model.get("type") != "BPE" or model.get("dropout"):
-            return None
+            return
         byte, vocab = _byte_alphabet(), model["vocab"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and len(t) == 1}
+        if any(not byte.keys() >= set(t) for t in vocab) or not all(t.get("special") for t in about.get("added_tokens") or ()):
+            return
+        self.widths = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes that each id stands for
+        for t, i in vocab.items():
+            self.widths[i] = len(t)
+        self.by_rank = self._ranks(byte, vocab, model["merges"])
+
+    def _ranks(self, byte: dict[str, int], vocab: dict[str, int], merges: list):
+        """text -> ids by ranks, or None where ids don't follow the merges."""
+        import tiktoken
+
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if len(t) == 1}
         if len(ranks) != 256 or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
             return None
         ranks |= {bytes(byte[c] for c in a + b): 256 + i for i, (a, b) in enumerate(pairs)}
-        return tiktoken.Encoding("pieces", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        return tiktoken.Encoding("pieces", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words, into: dict, before: str) -> None:
-        other = []
-        for word in words:
-            if word in self.older and before:
-                into[word] = self.older[word]
-                continue
-            if before and (not word or word[0].isspace()):
-                into[word] = None  # a text with it can't be cut
-                continue
-            chunk = before + word
-            latin = self.piece and LATIN_WORD.match(chunk)
-            if latin and latin.end() == len(chunk):
-                into[word] = array("I", self.piece(chunk.encode())).tobytes()
-            elif latin and chunk[latin.end() :] in MARKS:
-                into[word] = array("I", self.piece(latin[0].encode()) + self.piece(chunk[latin.end() :].encode())).tobytes()
-            else:
-                other.append(word)
-        for at in range(0, len(other), 10_000):
-            part = other[at : at + 10_000]
-            into.update(zip(part, self._encode([before + w for w in part])))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [t.split(" ") for t in texts]
-        if len(self.known) > ROOM:
-            self.known, self.older = {}, self.known
-        if len(self.heads) > ROOM // 4:
+    def _cut(self, words: pa.Array, encode) -> pa.LargeBinaryArray:
+        """Ids of each word with a space before it: those of all words in one text, cut at the words' ends."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = encode(" " + joined)
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
+        reached = np.cumsum(self.widths[ids])
+        last = np.searchsorted(reached, ends)
+        if len(reached) <= last[-1] or not np.array_equal(reached[last], ends):
+            raise ValueError("a token lies across the border of two words")
+        offsets = np.concatenate([[0], 4 * (last + 1)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+    def _by_rank(self, text: str) -> np.ndarray:
+        return np.array(self.by_rank(text), np.uint32)
+
+    def _by_tokenizer(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._encode([text])[0], np.uint32)
+
+    def _of_words(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """Ids of each of the words, with a space before; null for those with which a text can't be cut."""
+        n = len(words)
+        quick = np.zeros(n, bool)
+        if self.by_rank:
+            short = pc.less_equal(pc.binary_length(words), PLAIN_BYTES)
+            quick = pc.and_(pc.match_substring_regex(words, PLAIN_WORD), short).to_numpy(zero_copy_only=False)
+        places, found = [np.flatnonzero(quick)], []
+        if len(places[0]):
+            found.append(self._cut(words.filter(pa.array(quick)), self._by_rank))
+        other, never = [], []
+        for i, word in zip(np.flatnonzero(~quick), words.filter(pa.array(~quick)).to_pylist()):
+            (never if not word or word[0].isspace() else other).append(i)
+        rest = words.take(pa.array(other, pa.int64()))
+        for at, to in _spans(rest, PART):
+            places.append(np.array(other[at:to]))
+            found.append(self._cut(rest.slice(at, to - at), self._by_tokenizer))
+        places.append(np.array(never, np.int64))
+        found.append(pa.nulls(len(never), pa.large_binary()))
+        order = np.empty(n, np.int64)
+        order[np.concatenate(places)] = np.arange(n)
+        return pa.concat_arrays(found).take(pa.array(order))
+
+    def _of_heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of texts' first words, before which there is no space."""
+        if len(self.heads) > ROOM:
             self.heads = {}
-        first = [w.pop(0) for w in words]
-        self._learn(set(first).difference(self.heads), self.heads, "")
-        self._learn(set(chain.from_iterable(words)).difference(self.known), self.known, " ")
-        get, out = self.known.__getitem__, []
-        for text, head, rest in zip(texts, first, words):
-            try:
-                out.append(self.heads[head] + b"".join(map(get, rest)))
-            except TypeError:
-                out.append(self._encode([text])[0])
-        return out
+        new = list(set(heads).difference(self.heads))
+        now = {}
+        for at, to in _spans(pa.array(new, pa.string()), PART):
+            now.update(zip(new[at:to], self._encode(new[at:to])))
+        self.heads.update((h, ids) for h, ids in now.items() if len(h) <= 64)
+        return [now[h] if h in now else self.heads[h] for h in heads]
+
+    def of(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if self.widths is None:
+            return [self._encode([t.as_py()])[0] for t in texts]
+        words = pc.split_pattern(texts, " ")
+        bounds, every = words.offsets.to_numpy() - words.offsets[0].as_py(), words.flatten()
+        each = every.dictionary_encode()
+        later = np.ones(len(every), bool)
+        later[bounds[:-1]] = False
+        which = each.indices.to_numpy()
+        heads = self._of_heads(each.dictionary.take(pa.array(which[~later])).to_pylist())
+        which = which[later]
+        used = np.zeros(len(each.dictionary), bool)
+        used[which] = True
+        ids = self._of_words(each.dictionary.filter(pa.array(used))).take(pa.array((np.cumsum(used) - 1)[which]))
+        bounds = bounds - np.arange(len(bounds))  # without the first words
+        first, to = bounds[:-1], bounds[1:]
+        lacking = np.concatenate([[0], np.cumsum(ids.is_null().to_numpy(zero_copy_only=False))])
+        whole = lacking[first] < lacking[to]
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        data = memoryview(ids.buffers()[2] or b"")
+        return [
+            self._encode([texts[k].as_py()])[0] if apart else head + data[a:b]
+            for k, (apart, head, a, b) in enumerate(zip(whole.tolist(), heads, at[first].tolist(), at[to].tolist()))
+        ]
 
 
 def token_pieces(
@@ -122,11 +186,11 @@ def token_pieces(
             _TOKENIZERS[path] = _Ids(path)
         own = _TOKENIZERS[path]
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at, to in _spans(batch.column(1), SLICE):
+                part = batch.slice(at, to - at)
                 out: list[list] = [[] for _ in range(6 if with_ids else 5)]
                 which = []
-                for k, ids in enumerate(own.of(part.column(1).to_pylist())):
+                for k, ids in enumerate(own.of(part.column(1))):
                     ids += end
                     for start in range(0, len(ids), 4 * window):
                         piece = ids[start : start + 4 * window]

@@ -435,6 +435,27 @@ def test_packing(docs, none, texts):
     assert packing.pack_documents(none, path, 256).count() == 0
 
 
+def test_packing_encodes_words_many_at_a_time():
+    """Each text has the tokenizer's ids, and words with marks, line ends or other letters aren't encoded one by one."""
+    own, rng = packing._Ids(P.path("byte_bpe_50k.json")), random.Random(5)
+    plain, given = own._encode, []
+
+    def counting(texts):
+        given.extend(texts)
+        return plain(texts)
+
+    own._encode = counting
+    ends = ["###", ".\nAnd", "ж", "²", "!!", "'ll", "\n\n", "\u3000b", "<|endoftext|>", "日本", "é1x", "\u0301"]
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) + rng.choice(ends) for _ in range(4000)] + ["x" * 1500]
+    texts = ["Start " + " ".join(rng.sample(words, 200)) for _ in range(60)]
+    assert own.of(texts) == plain(texts)
+    assert len(given) <= 20
+    odd = [" \n\r\t\x1c\xa0\u3000'"[rng.randrange(8)] if rng.random() < 0.4 else rng.choice("stré²ж日,.#1") for _ in range(30_000)]
+    cut = sorted(rng.sample(range(30_000), 1500))
+    awkward = ["".join(odd[a:b]) for a, b in zip([0, *cut], [*cut, 30_000])] + ["", " ", "a", " a", "a  b", "a b ", "\n a"]
+    assert own.of(awkward) == plain(awkward)
+
+
 def test_best_fit_by_runs_is_best_fit():
     rng = random.Random(0)
     for _ in range(30):
